@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graupel.llm.copies import copy_groups, copy_pairs
+from graupel.llm.leaks import leaked_passages, leaks
 from graupel.llm.lookalike import canonical_text, lookalike_pairs
 from graupel.llm.residue import residue
 from graupel.session import load
@@ -33,6 +34,15 @@ def p4_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).withColumn("canonical", canonical_text("text"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also passages with up to two words changed."""
+    return leaked_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(load(spark, sf_dir, "documents")).select("doc_id")
 
@@ -47,6 +57,8 @@ QUERIES = {
     "p4_canonical_texts": p4_canonical_texts,
     "p5_found": p5_found,
     "p5_copy_groups": p5_copy_groups,
+    "p7_found": p7_found,
+    "p7_passages": p7_passages,
     "p8_found": p8_found,
     "p8_kinds": p8_kinds,
 }
@@ -73,7 +85,18 @@ WITH keyed AS (
   FROM keyed WINDOW g AS (PARTITION BY s, r, t, l, e, m)
 )
 """
+_LEAKS = """
+WITH item AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+long_item AS (SELECT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM item, unnest(range(1, len(w) - 10)) AS t(i) WHERE len(w) >= 12),
+grams AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM doc, unnest(range(1, len(w) - 10)) AS t(i) WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM grams JOIN long_item USING (g)
+UNION
+SELECT doc_id, item_id FROM doc JOIN item ON len(item.w) BETWEEN 1 AND 11
+  AND contains(' ' || array_to_string(doc.w, ' ') || ' ', ' ' || array_to_string(item.w, ' ') || ' ')
+"""
 SQL: dict[str, str] = {
+    "p7_found": _LEAKS,
     "p5_found": _COPIES + "SELECT first_id AS item_id, item_id AS copy_id FROM grouped WHERE item_id <> first_id",
     "p5_copy_groups": _COPIES + "SELECT item_id, copies FROM grouped WHERE item_id = first_id",
 }
