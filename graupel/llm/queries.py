@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graupel.llm.copies import copy_groups, copy_pairs
 from graupel.llm.leaks import leaked_passages, leaks
 from graupel.llm.lookalike import canonical_text, lookalike_pairs
+from graupel.llm.neighbours import nearest_neighbours, neighbour_pairs
 from graupel.llm.residue import residue
 from graupel.session import load
 
@@ -20,6 +21,14 @@ def p5_copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(load(spark, sf_dir, "dataset_keywords"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(load(spark, sf_dir, "semantic_embeddings"))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(load(spark, sf_dir, "semantic_embeddings"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = ("keyword_inputs", "concept_entities")
     first, second = (lookalike_pairs(load(spark, sf_dir, t), t) for t in tables)
@@ -53,6 +62,8 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p4_found": p4_found,
     "p4_canonical_texts": p4_canonical_texts,
     "p5_found": p5_found,
@@ -95,7 +106,23 @@ UNION
 SELECT doc_id, item_id FROM doc JOIN item ON len(item.w) BETWEEN 1 AND 11
   AND contains(' ' || array_to_string(doc.w, ' ') || ' ', ' ' || array_to_string(item.w, ' ') || ' ')
 """
+_NEIGHBOURS = """
+WITH usable AS (
+  SELECT id, namespace, model_key, entity_ref, updated_at, CAST(embedding AS DOUBLE[]) AS v FROM semantic_embeddings
+  WHERE len(embedding) = dimensions AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), live AS (
+  SELECT DISTINCT * FROM usable QUALIFY row_number() OVER (PARTITION BY namespace, entity_ref, model_key ORDER BY updated_at DESC NULLS LAST, id) = 1
+), best AS (
+  SELECT a.id, b.id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+  FROM live a JOIN live b ON a.namespace IS NOT DISTINCT FROM b.namespace AND a.model_key IS NOT DISTINCT FROM b.model_key AND a.id <> b.id
+  WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) <= 5
+)
+"""
 SQL: dict[str, str] = {
+    "p2_found": _NEIGHBOURS + "SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM best",
+    "p2_neighbours": _NEIGHBOURS + "SELECT id, other_id, similarity FROM best",
     "p7_found": _LEAKS,
     "p5_found": _COPIES + "SELECT first_id AS item_id, item_id AS copy_id FROM grouped WHERE item_id <> first_id",
     "p5_copy_groups": _COPIES + "SELECT item_id, copies FROM grouped WHERE item_id = first_id",
