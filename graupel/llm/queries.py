@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graupel.llm.copies import copy_groups, copy_pairs
+from graupel.llm.density import clusters
 from graupel.llm.leaks import leaked_passages, leaks
 from graupel.llm.lookalike import canonical_text, lookalike_pairs
 from graupel.llm.neighbours import nearest_neighbours, neighbour_pairs
@@ -29,6 +30,17 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "semantic_embeddings"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(load(spark, sf_dir, "cluster_points")).select("first_ref", "member_ref", "representative_ref")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per group: its size, its most typical member and that member's mean cosine to the others."""
+    rows = clusters(load(spark, sf_dir, "cluster_points"))
+    typical = rows.where(F.col("member_ref") == F.col("representative_ref"))
+    return typical.select(F.col("first_ref").alias("group_key"), "representative_ref", F.col("members").alias("size"), F.col("score").alias("mean_score"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = ("keyword_inputs", "concept_entities")
     first, second = (lookalike_pairs(load(spark, sf_dir, t), t) for t in tables)
@@ -64,6 +76,8 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_canonical_texts": p4_canonical_texts,
     "p5_found": p5_found,
@@ -120,7 +134,23 @@ WITH usable AS (
   QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) <= 5
 )
 """
+_GROUPS = """
+WITH usable AS (
+  SELECT ref, any_value(scope_ref) AS scope_ref, any_value(vector) AS v FROM cluster_points
+  WHERE len(vector) = 80 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ref
+), link AS (
+  SELECT a.ref, b.ref AS other, list_cosine_similarity(a.v, b.v) AS s FROM usable a JOIN usable b
+    ON a.scope_ref IS NOT DISTINCT FROM b.scope_ref AND a.ref <> b.ref WHERE list_cosine_similarity(a.v, b.v) >= 0.74
+), member AS (
+  SELECT ref, least(ref, min(other)) AS first_ref, round(avg(s), 6) AS score, count(*) + 1 AS size FROM link GROUP BY ref
+), named AS (
+  SELECT *, first_value(ref) OVER (PARTITION BY first_ref ORDER BY score DESC, ref) AS representative_ref FROM member
+)
+"""
 SQL: dict[str, str] = {
+    "p3_found": _GROUPS + "SELECT first_ref, ref AS member_ref, representative_ref FROM named",
+    "p3_groups": _GROUPS + "SELECT first_ref AS group_key, representative_ref, size, score AS mean_score FROM named WHERE ref = representative_ref",
     "p2_found": _NEIGHBOURS + "SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM best",
     "p2_neighbours": _NEIGHBOURS + "SELECT id, other_id, similarity FROM best",
     "p7_found": _LEAKS,
