@@ -10,6 +10,7 @@ from graupel.llm.density import clusters
 from graupel.llm.leaks import leaked_passages, leaks
 from graupel.llm.lookalike import canonical_text, lookalike_pairs
 from graupel.llm.neighbours import nearest_neighbours, neighbour_pairs
+from graupel.llm.packing import CAPACITY, pack
 from graupel.llm.residue import residue
 from graupel.session import load
 
@@ -55,6 +56,18 @@ def p4_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).withColumn("canonical", canonical_text("text"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, tokens in them, and the share of their room that is filled."""
+    used = pack(load(spark, sf_dir, "documents")).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest")).withColumn(
+        "filled", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 4)
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -82,6 +95,8 @@ QUERIES = {
     "p4_canonical_texts": p4_canonical_texts,
     "p5_found": p5_found,
     "p5_copy_groups": p5_copy_groups,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p8_found": p8_found,
