@@ -150,8 +150,9 @@ def clusters(
     labels = follow(pointers)
 
     members = grouped.join(labels, "ref").select("ref", "peak", "vector")
-    squared = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    unit = members.withColumn("norm", F.sqrt(squared)).select("ref", "peak", F.transform("vector", lambda x: x / F.col("norm")).alias("u"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    # the norm is bound once per row; named in the inner lambda directly it would be summed again for every element
+    unit = members.select("ref", "peak", F.transform(F.array(norm), lambda n: F.transform("vector", lambda x: x / n))[0].alias("u"))
     unit = cut(unit)
     # The mean cosine to all others follows from the sum of the group's unit vectors: no pairs.
     sums = unit.groupBy("peak").agg(
