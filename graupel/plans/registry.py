@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graupel.plans import training
+from graupel.plans import texts, training
 
 FLAGSHIP = "p1_scope_totals"
-_PARTS = (training,)
+_PARTS = (training, texts)
 
 
 def queries() -> dict:
