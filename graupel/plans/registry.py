@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graupel.plans import texts, training
+from graupel.plans import similarity, texts, training
 
-FLAGSHIP = "p1_scope_totals"
-_PARTS = (training, texts)
+FLAGSHIP = "knn_topk"
+_PARTS = (training, texts, similarity)
 
 
 def queries() -> dict:
