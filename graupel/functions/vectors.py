@@ -30,7 +30,9 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def normalized(a: Column | str) -> Column:
-    return F.transform(F.array(norm(a)), lambda n: F.transform(_c(a), lambda x: x.cast("double") / n))[0]
+    """A zero vector stays zero."""
+    length = norm(a)
+    return F.transform(F.array(F.when(length == 0, F.lit(1.0)).otherwise(length)), lambda n: F.transform(_c(a), lambda x: x.cast("double") / n))[0]
 
 
 def is_finite(a: Column | str) -> Column:

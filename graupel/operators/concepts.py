@@ -94,7 +94,7 @@ def weighted_targets(relevance: DataFrame, targets: DataFrame) -> DataFrame:
     relevance: id, group_id, relevance. targets: group_id, ordinal, ref, weight (a catalogue; Catalyst broadcasts it only under its
     size threshold)."""
     most = targets.agg(F.max("weight").alias("w"))
-    shares = targets.withColumn("share", F.col("weight") / most.scalar()).where(F.col("share").isNotNull())
+    shares = targets.withColumn("share", F.try_divide(F.col("weight"), most.scalar())).where(F.col("share").isNotNull())
     scored = relevance.join(shares, "group_id").withColumn("score", F.col("relevance") * F.col("share"))
     best = scored.groupBy("id", "ref").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("o"), "group_id", "relevance", "weight")).alias("b")).select("id", "ref", "b.*")
     order = W.partitionBy("id").orderBy(F.desc("score"), F.desc("o"), "ref")

@@ -108,14 +108,15 @@ def group_texts(points: DataFrame, floor: float = FLOOR, rescue: float = RESCUE,
     facts = judged.select("group", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment")
     labels = components(facts)
     nodes = rows.join(labels, "id").select("group", "id", "tokens", "component")
-    links = facts.join(labels.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment")
+    parts = labels.select(F.col("id").alias("a"), F.col("component").alias("part"))
+    links = facts.join(parts, "a").select("part", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment")
 
     def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         found = pd.DataFrame(_Grouping(n, e, floor, rescue, containment, least).run(), columns=["id", "cluster", "representative", "reason"])
         found.insert(0, "group", n["group"].iloc[0])
         return found.astype({"cluster": "Int64", "representative": "Int64"})
 
-    grouped = nodes.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(kernel, _SCHEMA)
+    grouped = nodes.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(kernel, _SCHEMA)
     alone = rows.join(labels, "id", "left_anti").select(
         "group", "id", F.lit(None).cast("bigint").alias("cluster"), F.lit(None).cast("bigint").alias("representative"), F.lit("below_semantic_floor").alias("reason")
     )

@@ -30,7 +30,7 @@ def pair_evidence(pairs: DataFrame, a: str = "tokens_a", b: str = "tokens_b", le
     na, nb = F.size(A), F.size(B)
     facts = pairs.select(
         "*",
-        (F.size(F.array_intersect(sa, sb)) / F.least(F.size(sa), F.size(sb))).alias("__c"),
+        F.try_divide(F.size(F.array_intersect(sa, sb)), F.least(F.size(sa), F.size(sb))).alias("__c"),
         ngrams(A).alias("__ga"), ngrams(B).alias("__gb"),
         _shared_start(A, B).alias("__p"), _shared_start(F.reverse(A), F.reverse(B)).alias("__s"),
         F.when(na <= nb, is_span(B, A)).otherwise(is_span(A, B)).alias("__embedded"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graupel.functions.vectors import clip, nearest_rank
+from graupel.functions.vectors import clip
 
 
 def blend(similarities: Column) -> Column:
@@ -38,8 +38,8 @@ def inbound_metrics(candidates: DataFrame, key: str = "source_ref") -> DataFrame
     top = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
     stats = ranked.groupBy(key).agg(
         F.count_if(F.col("inbound") == 0).alias("zero_inbound"), F.median("inbound").alias("median_inbound"),
-        nearest_rank(F.collect_list("inbound"), 0.9).cast("double").alias("p90_inbound"), F.max("inbound").alias("max_inbound"),
-        (F.sum(F.when(F.col("place") <= top, F.col("inbound"))) / F.sum("inbound")).alias("c"),
+        F.max(F.when(F.col("place") == F.col("n") - F.rint((F.col("n") - 1) * F.lit(0.9)), F.col("inbound"))).cast("double").alias("p90_inbound"), F.max("inbound").alias("max_inbound"),
+        F.try_divide(F.sum(F.when(F.col("place") <= top, F.col("inbound"))), F.sum("inbound")).alias("c"),
     )
     twice = candidates.groupBy(key, "ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy(key).agg(F.count(F.lit(1)).alias("repeated_refs"))
     return stats.join(twice, key, "left").select(
