@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graupel.functions.text import casefold
 from graupel.session import cut
 
 #: Blanks, and marks (punctuation, symbols) that do not stand between two digits.
@@ -19,8 +20,8 @@ HOT_LEAST = 10_000
 
 
 def bare_text(text: Column) -> Column:
-    """Letter case (full folding: upper, then lower), blanks and marks removed; accents stay."""
-    return F.lower(F.upper(F.regexp_replace(text, _IGNORED, "")))
+    """Letter case (full folding), blanks and marks removed; accents stay."""
+    return casefold(F.regexp_replace(text, _IGNORED, ""))
 
 
 def canonical_json(text: Column) -> Column:
@@ -37,7 +38,7 @@ def canonical_record(scope: str = "scope_ref", ref: str = "ref", text: str = "te
             F.col(scope).alias("s"),
             bare_text(F.col(ref)).alias("r"),
             bare_text(F.col(text)).alias("t"),
-            F.lower(F.upper(F.col(language))).alias("l"),
+            casefold(F.col(language)).alias("l"),
             F.array_sort(F.col(evidence)).alias("e"),
             canonical_json(F.col(metadata)).alias("m"),
         ),

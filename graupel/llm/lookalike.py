@@ -75,8 +75,8 @@ class Transducer:
             if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or 0x20000 <= code < 0xE0000 or code >= 0xF0000:
                 continue  # surrogates, composed Hangul, ideographs, private use: none is mapped
             char = chr(code)
-            if unicodedata.combining(char):
-                marks.append(code)
+            if unicodedata.category(char)[0] == "M" or 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2:
+                marks.append(code)  # also the Korean letters that compose with one before them
             target = _resolve(char)
             if target != char:
                 table[char] = target
