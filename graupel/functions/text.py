@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -31,6 +32,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: an expression named several times, or inside a lambda, would be computed
+    every time."""
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore").astype(object).where(texts.notna(), None)
@@ -80,7 +87,10 @@ def content_tokens(text: Column | str, composed: bool = True) -> Column:
 
 def ngrams(tokens: Column | str, least: int = 2) -> Column:
     """All different runs of at least `least` tokens, joined by blanks."""
-    t = _c(tokens)
+    return bind(_c(tokens), lambda t: _ngrams(t, least))
+
+
+def _ngrams(t: Column, least: int) -> Column:
     n = F.size(t)
     every = F.flatten(
         F.transform(
@@ -136,10 +146,12 @@ def is_heading(line: Column) -> Column:
 def segments(text: Column | str, limit: int = 12) -> Column:
     """Up to `limit` segments of a text: a short text is one; else its lines without contact lines (all lines, if none
     is left): two leading lines, then headings, then lines picked evenly from the rest."""
-    clean = collapse_edges(_c(text))
+    return bind(collapse_edges(_c(text)), lambda clean: _segments(clean, limit))
+
+
+def _segments(clean: Column, limit: int) -> Column:
     lines = F.filter(F.transform(F.split(clean, "\n"), collapse_edges), lambda x: x != "")
-    bound = F.transform(F.array(lines), lambda ls: _kept(ls))
-    chosen = F.transform(bound, lambda ls: F.when(F.size(ls) <= limit, ls).otherwise(_chosen(ls, limit)))[0]
+    chosen = bind(bind(lines, _kept), lambda ls: F.when(F.size(ls) <= limit, ls).otherwise(_chosen(ls, limit)))
     short = (F.length(clean) <= 300) & (F.size(F.split(clean, "\n")) <= 2)
     return F.when(clean == "", F.array().cast("array<string>")).when(short, F.array(clean)).otherwise(chosen)
 
@@ -156,7 +168,10 @@ def _kept(lines: Column) -> Column:
 def _chosen(lines: Column, limit: int) -> Column:
     rest = F.slice(lines, 3, 100_000_000)
     heads = F.slice(F.filter(rest, is_heading), 1, limit - 2)
-    bodies = F.filter(rest, lambda x: ~is_heading(x))
+    return bind(F.struct(heads.alias("heads"), F.filter(rest, lambda x: ~is_heading(x)).alias("bodies")), lambda p: _picked(lines, p["heads"], p["bodies"], limit))
+
+
+def _picked(lines: Column, heads: Column, bodies: Column, limit: int) -> Column:
     room = F.lit(limit - 2) - F.size(heads)
     strided = F.transform(
         F.sequence(F.lit(0), room - 1),

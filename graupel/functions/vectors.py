@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graupel.functions.text import bind
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -32,7 +34,7 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 def normalized(a: Column | str) -> Column:
     """A zero vector stays zero."""
     length = norm(a)
-    return F.transform(F.array(F.when(length == 0, F.lit(1.0)).otherwise(length)), lambda n: F.transform(_c(a), lambda x: x.cast("double") / n))[0]
+    return bind(F.when(length == 0, F.lit(1.0)).otherwise(length), lambda n: F.transform(_c(a), lambda x: x.cast("double") / n))
 
 
 def is_finite(a: Column | str) -> Column:

@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from graupel.functions.text import content_tokens, normalize
+from graupel.functions.text import bind, content_tokens, normalize
 
 DIMENSIONS = 32
 
 
 def digest_vector(text: Column, dimensions: int = 8) -> Column:
     """The first bytes of the text's SHA-256, each divided by 255 (at most 32)."""
-    digest = F.sha2(text, 256)
-    return F.array(*[F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 255 for i in range(dimensions)])
+    digits = F.lit("0123456789abcdef")
+    nibble = lambda digest, i: F.position(F.substring(digest, i + 1, 1), digits) - 1
+    byte = lambda digest, i: (nibble(digest, 2 * i) * 16 + nibble(digest, 2 * i + 1)) / F.lit(255.0)
+    return bind(F.sha2(text, 256), lambda digest: F.array(*[byte(digest, i) for i in range(dimensions)]))
+
+
+@lru_cache(maxsize=200_000)
+def _token(token: str, dimensions: int) -> np.ndarray:
+    return np.frombuffer(hashlib.sha256(token.encode()).digest()[:dimensions], np.uint8) / 255.0 - 0.5
 
 
 def token_vector(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
-    """The sum over the content tokens of their digest vectors around zero: texts that share tokens are close."""
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    add = lambda total, t: F.zip_with(total, digest_vector(t, dimensions), lambda a, x: a + x - 0.5)
-    return F.aggregate(content_tokens(text), zero, add)
+    """The sum over the content tokens of their digest vectors around zero: texts that share tokens are close. Null for null.
+    In Arrow batches: a worker computes each token once, where an expression would for every dimension of every row."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def add(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: sum((_token(t, dimensions) for t in ts), np.zeros(dimensions)), na_action="ignore")
+
+    return add(content_tokens(text))
 
 
 def embed_distinct(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], column: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graupel.operators.edges import components, similarity_edges
 from graupel.operators.lexical import COMPATIBLE, CONTAINMENT, INCOMPATIBLE, pair_evidence, pair_relation
+from graupel.session import cut
 
 FLOOR, RESCUE, NEIGHBOURS, LEAST = 0.55, 0.50, 3, 2
 _SCHEMA = "`group` bigint, id bigint, cluster bigint, representative bigint, reason string"
@@ -101,11 +102,12 @@ def group_texts(points: DataFrame, floor: float = FLOOR, rescue: float = RESCUE,
     """
     cutoff = min(floor, rescue)
     rows = points if "keys" in points.columns else points.withColumn("keys", F.array().cast("array<string>"))
+    rows = cut(rows.select("group", "id", "vector", "tokens", "keys"))  # read five times below
     edges = similarity_edges(rows, cutoff)
     a, b = (rows.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
     judged = pair_evidence(edges.join(a, "a").join(b, "b"), least=containment)
     judged = judged.withColumn("relation", pair_relation(floor, shared_evidence=F.arrays_overlap("keys_a", "keys_b")))
-    facts = judged.select("group", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment")
+    facts = cut(judged.select("group", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment"))
     labels = components(facts)
     nodes = rows.join(labels, "id").select("group", "id", "tokens", "component")
     parts = labels.select(F.col("id").alias("a"), F.col("component").alias("part"))
