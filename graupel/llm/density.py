@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graupel.llm import vptree
-from graupel.llm.shards import each_shard, matrix, routing_trees, sharded, usable
+from graupel.llm.shards import each_shard, routing_trees, sharded, usable
+from graupel.operators.blocks import matrix
 from graupel.session import cut
 
 DIMENSIONS = 80

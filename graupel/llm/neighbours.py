@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graupel.llm import vptree
-from graupel.llm.shards import SHARD_ROWS, each_shard, matrix, routing_trees, sharded, usable
+from graupel.llm.shards import SHARD_ROWS, each_shard, routing_trees, sharded, usable
+from graupel.operators.blocks import matrix
 from graupel.session import cut
 
 TOP = 5

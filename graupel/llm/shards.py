@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graupel.llm import vptree
+from graupel.operators.blocks import each_key, matrix
 
 #: Rows a shard should have; groups up to this size are one shard.
 SHARD_ROWS = 24_000
@@ -27,11 +28,6 @@ def usable(vector: Column, dimensions: Column) -> Column:
     return F.coalesce((F.size(x) == dimensions) & finite & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
-def matrix(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def routing_trees(rows: DataFrame, shard_rows: int, sample_rows: int = SAMPLE_ROWS) -> dict[int, vptree.Node]:
     """A tree for each group of more than `shard_rows` rows (at most rows / shard_rows groups), fitted on a sample
     of at most `sample_rows` rows in all. rows: group BIGINT, id, vector. Ids decide who is sampled, so the
@@ -100,23 +96,4 @@ def sharded(rows: DataFrame, trees: dict[int, vptree.Node], reach: float) -> Dat
 
 def each_shard(shards: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Gathers every shard in one task and applies `work`; a task holds one shard at a time."""
-    gathered = shards.repartition("shard").sortWithinPartitions("shard")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and shard[a] != current:
-                    yield from work(pa.Table.from_batches(held))
-                    held = []
-                current = shard[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    return gathered.mapInArrow(run, schema)
+    return each_key(shards, "shard", work, schema)
