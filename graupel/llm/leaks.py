@@ -71,6 +71,7 @@ class PieceIndex:
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, budget: int = BUDGET) -> None:
         self.budget = budget
         self.items: list[tuple[int, list[str], int]] = []
+        self.different: dict[tuple[int, int], frozenset[str]] = {}
         places: dict[str, set[tuple[int, int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
@@ -80,6 +81,7 @@ class PieceIndex:
             number = len(self.items)
             self.items.append((item_id, words, width))
             for start in range(len(words) - width + 1):
+                self.different[number, start] = frozenset(words[start : start + width])
                 for at, length in pieces_of(width, budget):
                     piece = " ".join(words[start + at : start + at + length])
                     places.setdefault(f" {piece} ", set()).add((number, start, at))
@@ -99,6 +101,7 @@ class PieceIndex:
         seen: set[tuple[int, int, int]] = set()
         best: dict[int, int] = {}
         runs: dict[int, int] = {}
+        inexact: list[tuple[int, int, int]] = []
         for end, (length, places) in self.automaton.iter(flat):
             if not starts:
                 at = 1
@@ -107,22 +110,36 @@ class PieceIndex:
                     at += len(w) + 1
             position = bisect_right(starts, end - length + 2) - 1
             for number, start, at in places:
-                origin = position - at
-                if (number, start, origin) in seen:
+                candidate = (number, start, position - at)
+                if candidate in seen:
                     continue
-                seen.add((number, start, origin))
+                seen.add(candidate)
+                origin = candidate[2]
                 _, item, width = self.items[number]
-                pattern = item[start : start + width]
-                if origin >= 0 and words[origin : origin + width] == pattern:
-                    edits, run = 0, _run(item, words, start, origin)
+                if origin >= 0 and words[origin : origin + width] == item[start : start + width]:
+                    best[number] = 0
+                    runs[number] = max(runs.get(number, 0), _run(item, words, start, origin))
                 else:
-                    budget = min(self.budget, width - 1)
-                    lo = max(0, origin - budget)
-                    edits, run = myers(pattern, words[lo : origin + width + budget]), 0
-                    if edits > budget:
-                        continue
-                best[number] = min(best.get(number, edits), edits)
-                runs[number] = max(runs.get(number, 0), run)
+                    inexact.append(candidate)
+        nearby: dict[tuple[int, int], set[str]] = {}
+        different = self.different
+        for number, start, origin in inexact:
+            known = best.get(number)
+            if known == 0:
+                continue  # no distance is less
+            _, item, width = self.items[number]
+            pattern, budget = item[start : start + width], min(self.budget, width - 1)
+            span = (max(0, origin - budget), origin + width + budget)
+            near = nearby.get(span)
+            if near is None:
+                near = nearby[span] = set(words[span[0] : span[1]])
+            if len(near & different[number, start]) < len(different[number, start]) - budget:
+                continue  # each word of the window that is not near costs an edit
+            around = words[span[0] : span[1]]
+            edits = myers(pattern, around)
+            if edits <= budget and (known is None or edits < known):
+                best[number] = edits
+                runs.setdefault(number, 0)
         for number, edits in best.items():
             yield self.items[number][0], edits, runs[number]
 
