@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graupel.session import cut
+
 #: Characters removed around a scope: spaces, tabs, line breaks and no-break spaces.
 BLANKS = "".join(
     chr(c)
@@ -78,10 +80,10 @@ def scope_run_totals(runs: DataFrame) -> DataFrame:
 def heavy_scopes(runs: DataFrame, share: float = 0.02) -> DataFrame:
     """(scope_ref) of every scope that owns at least `share` of all distinct runs (null scope: none).
 
-    The threshold is a scalar subquery over the per-scope totals, whose shuffle it reuses; nothing is
-    collected. `share` is compared in parts per million, so 0.02 is exact.
+    The totals, one row a scope, are kept in the shared folder: the runs are read once, though the totals serve both as
+    rows and, in a scalar subquery, as the sum they are compared with. `share` counts in parts per million, so 0.02 is exact.
     """
-    totals = scope_run_totals(runs)
+    totals = cut(scope_run_totals(runs))
     ppm = round(share * 1_000_000)
     every = totals.agg(F.sum("run_count").alias("n"))
     return totals.where(
