@@ -20,7 +20,7 @@ from graupel.session import cut
 TOP = 5
 MIN_SIMILARITY = 0.80
 #: Divides the reach of a query; 1 restores exact search. See the README for recall by factor.
-RELAX = 4.0
+RELAX = 3.0
 LEAF_ROWS = 768
 _CHUNK = 512
 
