@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for a Spark context, so that they need no copy of it in their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graupel_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else it runs from an archive that was sent already
+        archive = os.path.join(tempfile.mkdtemp(prefix="graupel-package-"), "graupel.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
+        sc.addPyFile(archive)
+    sc._graupel_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

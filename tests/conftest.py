@@ -18,5 +18,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from graupel.session import ship
+
+    ship(session)
     yield session
     session.stop()
