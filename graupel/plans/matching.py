@@ -15,7 +15,7 @@ from graupel.operators.embedding import DIMENSIONS, token_vector
 from graupel.operators.hybrid import group_texts
 from graupel.operators.lexical import pair_evidence, pair_relation
 from graupel.plans.texts import sql_fold, sql_ngrams, sql_tokens
-from graupel.session import load
+from graupel.session import cut, load
 
 FLOOR = 0.75
 
@@ -38,7 +38,8 @@ def keyword_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence and relation of every keyword and its three nearest of the same scope."""
+    """Evidence and relation of every keyword and its three nearest of the same scope, as its SQL has it. Copies can fill the
+    three places: lexical_class_relations has all pairs."""
     rows = _keywords(spark, d)
     a, b = (rows.select(F.col("id").alias(i), F.col("tokens").alias(f"tokens_{s}"), F.col("keys").alias(f"keys_{s}")) for i, s in (("id", "a"), ("other", "b")))
     pairs = pair_evidence(_near(spark, d).join(a, "id").join(b, "other"))
@@ -48,6 +49,33 @@ def lexical_relations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """rows with class: the smallest id of those of the group with equal tokens and evidence keys, which relate alike to all others."""
+    alike = rows.withColumn("keys", F.array_sort(F.array_distinct("keys")))
+    first = alike.groupBy("group", "tokens", "keys").agg(F.min("id").alias("class"), F.first("vector").alias("vector"), F.collect_list("id").alias("ids"))
+    return first.select("group", F.col("class"), "tokens", "keys", "vector", "ids")
+
+
+def lexical_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, class): every keyword with its class."""
+    return _classes(_keywords(spark, d)).select(F.explode("ids").alias("id"), "class")
+
+
+def lexical_class_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence and relation of all pairs of classes (class < other) of a scope at or above the floor. The members of a class of
+    two or more are a pair of it with itself."""
+    classes = cut(_classes(_keywords(spark, d)))
+    apart = similarity_edges(classes.select("group", F.col("class").alias("id"), "vector"), FLOOR).select(F.col("a").alias("class"), F.col("b").alias("other"), "score")
+    within = classes.where((F.size("ids") > 1) & F.exists("vector", lambda x: x != 0)).select("class", F.col("class").alias("other"), F.lit(1.0).alias("score"))
+    a, b = (classes.select(F.col("class").alias(i), F.col("tokens").alias(f"tokens_{s}"), F.col("keys").alias(f"keys_{s}")) for i, s in (("class", "a"), ("other", "b")))
+    edges = apart.unionByName(within).withColumn("score", F.round("score", 6))
+    pairs = pair_evidence(edges.join(a, "class").join(b, "other"))
+    return pairs.select(
+        "class", "other", "score", F.round("containment", 6).alias("containment"), "lexically_compatible", "conflict",
+        pair_relation(0.9, shared_evidence=F.arrays_overlap("keys_a", "keys_b")).alias("relation"),
+    )
+
+
 def keyword_groups(spark: SparkSession, d: str) -> DataFrame:
     return group_texts(_keywords(spark, d), floor=0.8, rescue=FLOOR).select("id", "cluster", "representative", "reason")
 
@@ -156,7 +184,7 @@ def unknown_acronyms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    keyword_neighbours, lexical_relations, keyword_groups, concept_scores, concept_decisions, concept_verdicts, weighted_routing, routing_hints,
+    keyword_neighbours, lexical_relations, lexical_classes, lexical_class_relations, keyword_groups, concept_scores, concept_decisions, concept_verdicts, weighted_routing, routing_hints,
     retrieval_blend, link_metrics, link_rank, spaced_sections, catalogue_terms, unknown_acronyms,
 )}
 
