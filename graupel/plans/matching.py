@@ -129,7 +129,8 @@ def routing_hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Articles of five segments each against the mean of each label's vectors: the three best labels."""
+    """Articles of five segments each against the labels: a segment's score is its highest to the label's two examples of smallest
+    id, as the SQL has it (other vectors of the label are no targets), and every label from 0.3 on comes out."""
     rows, examples = _concepts(spark, d)
     scores = C.concept_scores(rows.select("id", "vector"), examples.where("positive AND ordinal < 2"))
     articles = scores.groupBy((F.floor(F.col("id") / 5)).alias("article"), "concept").agg(F.array_sort(F.collect_list(F.struct("id", "positive_max"))).alias("s"))
