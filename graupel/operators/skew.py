@@ -89,3 +89,23 @@ def heavy_scopes(runs: DataFrame, share: float = 0.02) -> DataFrame:
     return totals.where(
         F.col("scope_ref").isNotNull() & (F.col("run_count") * 1_000_000 >= every.scalar() * F.lit(ppm))
     ).select("scope_ref")
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = 1000) -> DataFrame | None:
+    """(key) of the keys with more than a quarter of a core's share of the rows, and more than `least`: at most four a core, so
+    the table may be broadcast. None if there are none. Counts combine per task, so a hot key costs one row a task."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    bar = F.greatest(F.lit(least), counts.agg(F.sum("n")).scalar() / (4 * rows.sparkSession.sparkContext.defaultParallelism))
+    found = [(r[0],) for r in counts.where(F.col(key).isNotNull() & (F.col("n") > bar)).select(key).collect()]
+    return rows.sparkSession.createDataFrame(found, rows.select(key).schema) if found else None
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with a table of which `key` is unique. Rows of hot keys stay where they are and take the
+    table's row by broadcast; the rest take one shuffle. Both sides should be cheap to read again (see session.cut)."""
+    hot = hot_keys(rows, key, least)
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
+    own = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(own, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))

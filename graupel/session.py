@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -33,14 +35,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none (tests, a single
-    machine) a temporary folder of our own is set."""
+    """The folder of spark.checkpoint.dir. Only where the session names none and runs on one machine (tests) a temporary
+    folder of our own is set, and removed at the end; on a cluster a folder that all machines share must be named."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="graupel-checkpoint-"))
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="graupel-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
