@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from graupel.llm import vptree
+from graupel.llm import shards, vptree
 from graupel.llm.density import clusters
 from graupel.llm.neighbours import nearest_neighbours, neighbour_pairs, shard_neighbours
 
@@ -59,6 +59,28 @@ def test_exact_search_with_relax_one(spark, relax, shard):
     assert {(r.id, r.other_id) for r in found} == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("relax", [1.0, 3.0])
+def test_parts_and_chunks_meet_every_pair(spark, relax):
+    """Shards over the bounds of a task are cut and still meet whole."""
+    x = vptree.unit(_cloud(400, 8, 9)).astype("f4")
+    rows = [(7, i * 7919, i, v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "group bigint, salt bigint, id bigint, vector array<float>")
+    reach = math.acos(0.8)
+    plan = shards.routing(points, reach, relax, shard_rows=100, part_rows=40, visit_rows=60)
+    assert plan.parts and plan.chunks
+    met = set()
+    loads = {}
+    for r in shards.sharded(points, plan).collect():
+        loads.setdefault(r.shard, []).append(r)
+    for load in loads.values():
+        home, others = [r for r in load if r.home], [r for r in load if not r.home]
+        assert len(home) < 80 and len(others) < 120
+        for a in home:
+            met |= {(min(a.id, b.id), max(a.id, b.id)) for b in others + (home if a.meet else []) if a.id != b.id}
+    near = {(i, j) for i, j in itertools.combinations(range(400), 2) if x[i] @ x[j] >= 0.8}
+    assert len(near & met) >= (1.0 if relax == 1 else 0.9) * len(near)
+
+
 def test_relaxed_recall_over_many_shards(spark):
     x = _cloud(6000, 64, 5, spread=0.4)
     rows = [(i, "a", f"e{i}", "m", 64, x[i].astype("f4").tolist(), T, 0, "x") for i in range(len(x))]
@@ -78,7 +100,7 @@ def test_join_meets_every_pair_once():
     reach = math.acos(0.8)
     met = {}
 
-    def visit(h, c):
+    def visit(h, c, meet):
         for i in h:
             for j in np.concatenate([h, c]):
                 if i != j:
@@ -126,7 +148,7 @@ def _cliques(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_rows": 25, "hot_members": 10}])
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 25}])
 def test_clusters_against_brute_force(spark, limits):
     rows = _groups()
     found = clusters(spark.createDataFrame(rows, POINTS), **limits).collect()
