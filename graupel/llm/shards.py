@@ -2,7 +2,8 @@
 at home by PART_ROWS, the rows that visit it at a time by VISIT_ROWS, whatever the data.
 
 Two ways of cutting a group: exactly, by one tree, where a row also visits every shard that may hold a partner within
-reach; or by a forest of trees, where a row goes to one shard of each tree, so that its copies are the number of trees.
+reach; or by a forest of trees, where a row goes to one shard of each tree, so that its copies are the number of trees. A
+relaxed search takes the forest where that makes fewer copies than visiting half of all shards, which is the most the tree can need.
 """
 
 from __future__ import annotations
@@ -50,17 +51,19 @@ def forest_size(leaves: int, relax: float) -> int:
 
 @dataclass
 class Routing:
-    """Trees by group, and the parts and chunks of the shards that need more than one. `reach` None: a forest."""
+    """Trees by group, and the parts and chunks of the shards that need more than one. A single tree is exact within `reach`,
+    several are a forest."""
 
     trees: dict[int, list[vptree.Node]]
-    reach: float | None
+    reach: float
     parts: dict[int, int] = field(default_factory=dict)
     chunks: dict[int, int] = field(default_factory=dict)
 
     def shards(self, group: int, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, rows at home, visitors) for rows of one group."""
-        for number, tree in enumerate(self.trees[group]):
-            for leaf, home, copies in vptree.route(tree, unit, self.reach):
+        trees = self.trees[group]
+        for number, tree in enumerate(trees):
+            for leaf, home, copies in vptree.route(tree, unit, self.reach if len(trees) == 1 else None):
                 yield _mixed(group, number, leaf), home, copies
 
     def tasks(self, group: int, unit: np.ndarray, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool, bool]]:
@@ -107,13 +110,13 @@ def _large(rows: DataFrame, groups: list[int]) -> DataFrame:
 def routing(rows: DataFrame, reach: float, relax: float = 1.0, shard_rows: int | None = None, part_rows: int = PART_ROWS, visit_rows: int = VISIT_ROWS) -> Routing:
     """How rows (group BIGINT, salt BIGINT, vector) are cut. Groups above `shard_rows` (there are at most rows / shard_rows)
     get trees, fitted on a sample of at most SAMPLE_ROWS rows in all that depends on the salts only; every row is routed.
-    relax 1: one tree with exact reach; else a forest. Where the sample is too small for so many leaves, shards are larger
+    relax 1: one tree with exact reach; else that or a forest, whichever makes fewer copies. Where the sample is too small for so many leaves, shards are larger
     and cut into parts."""
     spark = rows.sparkSession
     counts = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
     size = shard_rows or shard_size(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], spark)
     sizes = counts.where(F.col("n") > size).collect()
-    out = Routing({}, reach if relax == 1 else None)
+    out = Routing({}, reach)
     if not sizes:
         return out
     leaves = {r.group: math.ceil(r.n / size) for r in sizes}
@@ -125,7 +128,9 @@ def routing(rows: DataFrame, reach: float, relax: float = 1.0, shard_rows: int |
     for batch in sample.combine_chunks().to_batches():
         for group, places, unit in _by_group(batch):
             unit = unit[np.argsort(salts[places], kind="stable")]
-            trees = 1 if relax == 1 else forest_size(leaves[group], relax)
+            trees = forest_size(leaves[group], relax)
+            if relax == 1 or trees >= (leaves[group] + 1) / 2:
+                trees = 1
             out.trees[group] = [vptree.build(unit, leaves[group], t) for t in range(trees)]
     if not out.trees:
         return out

@@ -56,7 +56,7 @@ def build(sample: np.ndarray, leaves: int, number: int = 0) -> Node:
 
     def grow(rows: np.ndarray, wanted: int) -> Node:
         nonlocal count
-        split = choose(rows, shift=7919 * number) if wanted > 1 and len(rows) >= 4 else None
+        split = choose(rows, max(2, min(_TRIES, len(rows) // 8)), 7919 * number) if wanted > 1 and len(rows) >= 4 else None
         if split is None:
             count += 1
             return Node(leaf=count - 1)
