@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graupel.functions.text import casefold
-from graupel.session import cut
+from graupel.session import cut, shuffle_partitions
 
 #: Blanks, and marks (punctuation, symbols) that do not stand between two digits.
 _IGNORED = r"[\s\p{Z}\u0085\x1c-\x1f]+|(?<!\p{Nd})[\p{P}\p{S}]|[\p{P}\p{S}](?!\p{Nd})"
-HOT_SHARE = 0.001
-HOT_LEAST = 10_000
+#: A key is hot if it has more than this share of the rows (or a shuffle partition's share, if that is less), and more than HOT_LEAST.
+HOT_SHARE = 0.0005
+HOT_LEAST = 8
 
 
 def bare_text(text: Column) -> Column:
@@ -68,11 +69,12 @@ def with_first_copy(records: DataFrame, share: float = HOT_SHARE, least: int = H
 
     The records are read and brought to keys once; the keys (24 bytes a record) are kept in the shared folder.
 
-    Hot keys (at most 1/share of them, so the set may be broadcast) go through (key, salt) and then
+    Hot keys (at most 1 / share of them, 2000 or one a shuffle partition, so the set may be broadcast) go through (key, salt) and then
     key aggregation; their rows take the result by a broadcast join and are never gathered. All other
     keys have at most max(share x rows, least) rows and take one shuffle.
     Rows without item_id are left out; an empty table gives no rows.
     """
+    share = min(share, 1 / shuffle_partitions(records.sparkSession))
     keyed = cut(_keyed(records.where(F.col("item_id").isNotNull())))
     hot = F.broadcast(_hot_keys(keyed, share, least))
 

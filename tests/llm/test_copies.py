@@ -4,7 +4,7 @@ import unicodedata
 
 import pytest
 
-from graupel.llm.copies import bare_text, copy_groups, copy_pairs
+from graupel.llm.copies import HOT_LEAST, HOT_SHARE, _hot_keys, bare_text, copy_groups, copy_pairs
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -59,6 +59,15 @@ def test_pairs_against_brute_force(spark, limits):
     assert {(r.item_id, r.copies) for r in copy_groups(table, **limits).collect()} == {(min(g), len(g)) for g in groups.values()}
 
 
+def test_hot_keys_take_two_salted_levels(spark):
+    """With production parameters a key with a third of the rows goes through (key, salt), and no window sees it."""
+    found = copy_pairs(spark.createDataFrame(_rows(), SCHEMA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "pmod(item_id" in plan and "LeftAnti" in plan
+    keyed = spark.createDataFrame([(1, 1, i) for i in range(50)] + [(i, 2, 100 + i) for i in range(50)], "k1 bigint, k2 bigint, item_id bigint")
+    assert [tuple(r) for r in _hot_keys(keyed, HOT_SHARE, HOT_LEAST).collect()] == [(1, 1)]
+
+
 def test_empty(spark):
     assert copy_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 

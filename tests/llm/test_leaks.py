@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graupel.llm.leaks import PieceIndex, leaked_passages, leaks, myers, pieces_of, words_of
@@ -26,7 +27,8 @@ def test_myers_against_dynamic_programming():
     for _ in range(500):
         p = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
         t = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
-        assert myers(p, t) == _least(p, t)
+        pattern, text = np.array([[ord(c) for c in p]]), np.array([[*map(ord, t), -1, -1]]).reshape(1, -1)
+        assert myers(pattern, text)[0] == _least(p, t)
 
 
 def test_pieces_cover_the_window():
@@ -49,8 +51,8 @@ def test_no_passage_within_the_budget_is_missed(budget):
                 doc[rng.randrange(len(doc))] = "z"
         width = min(8, len(item))
         least = min(_least(item[s : s + width], doc) for s in range(len(item) - width + 1))
-        found = {i: e for i, e, _ in PieceIndex([(5, " ".join(item))], 8, budget).search(" ".join(doc))}
-        if least <= min(budget, width - 1):
+        found = {i: e for n, i, e, _ in PieceIndex([(5, " ".join(item))], 8, budget).search(["x y", " ".join(doc), ""]) if n == 1}
+        if least <= budget * width // 8:
             assert found.get(5) is not None and found[5] >= least
             if least == 0:
                 assert found[5] == 0
@@ -82,6 +84,29 @@ def test_found_against_brute_force(spark):
     assert {tuple(r) for r in leaks(*tables, block_chars=60).collect()} == want
 
 
+def test_passages_with_edits_against_dynamic_programming(spark):
+    """Planted windows with no, one, two and three words changed, lost or added."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(20)), 1) for i in range(12)]
+    docs = []
+    for i in range(48):
+        own = items[i % 12][1].split()[4:16]
+        for _ in range(i // 12):
+            at = rng.randrange(1, len(own) - 1)
+            own[at : at + rng.choice([0, 1])] = rng.choice([[], ["zzz"]])
+        docs.append((i, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)]), 1, "x"))
+    want = {}
+    for d in docs:
+        for i in items:
+            words = i[1].split()
+            least = min(_least(words[a : a + 12], d[1].split()) for a in range(9))
+            if least <= 2:
+                want[d[0], i[0]] = least
+    found = {(r.doc_id, r.item_id): r.edits for r in leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert found == want and set(want.values()) == {0, 1, 2}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c", 0, "")], DOCS), spark.createDataFrame([(1, "a b c", 0)], ITEMS)
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
