@@ -1,9 +1,10 @@
 """Visually identical text in one consistent form.
 
-A transducer is compiled once from rules: for every grapheme cluster (a base character with its
-combining marks) it holds the canonical cluster; a text is rewritten in one pass, the longest match
-first. Clusters outside the compiled table (rare accents on rare letters) are resolved by the same
-rules and kept.
+A transducer is compiled once from rules: for every grapheme cluster (a base character with its combining marks) that
+Unicode composes, and for every look-alike letter with each of their marks, it holds the canonical cluster, checked for
+conflicts; a text is rewritten in one pass, the longest match first. Other clusters (rare accents on rare letters) are
+resolved by the same rules when first met. Look-alike letters are those of Latin, Cyrillic, Greek and Armenian; other scripts
+keep theirs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graupel.operators.skew import join_unique
 from graupel.session import cut
 
 # Letters of other scripts with the shape of a Latin letter.
@@ -26,18 +28,26 @@ CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ү": "Y", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ә": "ə", "Ә": "Ə", "ӕ": "æ", "Ӕ": "Æ", "Ӡ": "Ʒ", "ӡ": "ʒ", "к": "ĸ",
 }
 GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "ν": "v", "κ": "ĸ", "ɛ": "ε",
 }
+ARMENIAN = {"Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "հ": "h", "ո": "n", "Տ": "S", "Լ": "L", "ց": "g", "զ": "q"}
 #: Latin letters of one shape: eth and African D look as D with stroke.
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ɑ": "a", "ɡ": "g"}
+#: Hyphens of one shape; the second may not break.
+HYPHENS = {"\u2010": "-", "\u2011": "-"}
+LETTERS = CYRILLIC | GREEK | ARMENIAN | LATIN | HYPHENS
 #: Format characters that are drawn.
 DRAWN_FORMATS = frozenset([*range(0x600, 0x606), 0x6DD, 0x70F, 0x8E2, 0x110BD, 0x110CD])
 #: Characters without shape that are no format characters.
 SHAPELESS = frozenset([0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
+#: Joiners are drawn between pictures, and after a sign that binds the next letter (combining class 9).
+JOINERS = "\u200c\u200d"
+PICTURES = "\u2190-\u21ff\u2300-\u23ff\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff"
 BLANK_CONTROLS = "\t\n\x0b\x0c\r\x85\u2028\u2029"
 
 
@@ -51,16 +61,20 @@ def _shape(char: str) -> str:
     kind, _, points = unicodedata.decomposition(char).partition(" ")
     if kind in ("<wide>", "<narrow>"):
         return "".join(_shape(chr(int(p, 16))) for p in points.split())
-    if kind == "<compat>" and category.startswith("L"):
+    if kind == "<compat>" and (category.startswith("L") or category == "Nl"):  # ligatures, Roman numerals, the micro sign
         parts = [chr(int(p, 16)) for p in points.split()]
-        if len(parts) > 1 and all(unicodedata.category(p).startswith("L") for p in parts):
+        if all(unicodedata.category(p).startswith("L") for p in parts) and (len(parts) > 1 or category == "Nl" or code == 0xB5):
             return "".join(map(_shape, parts))
-    return CYRILLIC.get(char) or GREEK.get(char) or LATIN.get(char) or char
+    return LETTERS.get(char) or char
 
 
 def _resolve(cluster: str) -> str:
     """The rule behind the table: decompose, map every character, compose."""
-    return unicodedata.normalize("NFC", "".join(map(_shape, unicodedata.normalize("NFD", cluster))))
+    if len(cluster) > 1 and "\u200d" in cluster and re.match(f"[{PICTURES}]", cluster):
+        return cluster.replace("\ufe0f", "")
+    parts = unicodedata.normalize("NFD", cluster)
+    shapes = [c if c in JOINERS and unicodedata.combining(parts[i - 1 : i] or " ") == 9 else _shape(c) for i, c in enumerate(parts)]
+    return unicodedata.normalize("NFC", "".join(shapes))
 
 
 class ConflictError(ValueError):
@@ -82,15 +96,19 @@ class Transducer:
                 table[char] = target
         for char in BLANK_CONTROLS[:5]:
             table[char] = " "
-        self.table = table
+        composed = [unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))]
+        accents = {m for form in composed for m in form[1:] if unicodedata.combining(m)}
+        clusters = {form for form in composed if len(form) > 1} | {base + m for base in LETTERS for m in accents}
+        self.table = table | {c: _resolve(c) for c in sorted(clusters)}
         self.check()
         mark = _char_class(marks)
         invisible = _char_class([ord(c) for c, t in table.items() if t == ""])
         single = _char_class([ord(c) for c in table] + marks)
-        # Longest match first: a base with marks (invisible characters may stand between), then one mapped character.
-        self._pattern = re.compile(f"[\\s\\S][{invisible}]*[{mark}][{mark}{invisible}]*|[{single}]")
+        pictures = f"[{PICTURES}](?:[\ufe0f\U0001f3fb-\U0001f3ff]*\u200d[{PICTURES}])+\ufe0f?"
+        # Longest match first: joined pictures, a base with marks (invisible characters may stand between), one mapped character.
+        self._pattern = re.compile(f"{pictures}|[\\s\\S][{invisible}]*[{mark}][{mark}{invisible}]*|[{single}]")
         self._plain = re.compile(f"[{single}]")
-        self._seen = dict(table)
+        self._seen = dict(self.table)
 
     def check(self) -> None:
         """Every canonical form must be its own canonical form, and composed and decomposed spellings of one
@@ -147,23 +165,53 @@ def canonical_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(step, na_action="ignore").astype(object).where(texts.notna(), None)
 
 
-def lookalike_pairs(rows: DataFrame, source_table: str) -> DataFrame:
+def _seen(rows: DataFrame) -> DataFrame:
+    """(k1, k2, scope_ref, ref, raw, canon): each different (scope, ref, text) once; (k1, k2) is the scope and canonical text."""
+    clean = rows.where(F.col("ref").isNotNull() & F.col("text").isNotNull()).select("scope_ref", "ref", "text").distinct()
+    scope = F.coalesce(F.concat(F.lit("s"), "scope_ref"), F.lit("n"))
+    return clean.select("scope_ref", "ref", F.xxhash64("text").alias("raw"), canonical_text("text").alias("canon")).select(
+        F.xxhash64(scope, "canon").alias("k1"), F.xxhash64(F.lit(7), "canon", scope).alias("k2"), "scope_ref", "ref", "raw", "canon"
+    )
+
+
+def lookalike_classes(rows: DataFrame, source_table: str) -> DataFrame:
+    """(source_table, scope_ref, canon, ref, strings, links): every ref with the canonical text of its class, how many different
+    strings the class has for it, and its links: the other refs of the scope whose text looks the same but is another
+    string. A ref with several texts is in the class of each.
+
+    Nothing is paired: links are counts of the class less those of the ref's own string, both combined per task, so a class of
+    a third of all rows costs a row a task. Null refs and texts are left out; a null scope is a scope; repeated rows count once.
+    """
+    per_ref = cut(_seen(rows).groupBy("k1", "k2", "scope_ref", "canon", "ref").agg(F.count(F.lit(1)).alias("strings"), F.min("raw").alias("raw")))
+    # refs of one string only are no link of others with the same
+    alone = per_ref.where("strings = 1").groupBy("k1", "k2", "raw").agg(F.count(F.lit(1)).alias("same"))
+    refs = per_ref.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("refs"))
+    sizes = alone.join(refs, ["k1", "k2"]).select(F.xxhash64("k1", "k2", "raw").alias("key"), (F.col("refs") - F.col("same")).alias("others"))
+    all_refs = refs.select(F.xxhash64("k1", "k2", F.lit(None).cast("bigint")).alias("key"), (F.col("refs") - 1).alias("others"))
+    own = per_ref.withColumn("key", F.xxhash64("k1", "k2", F.when(F.col("strings") == 1, F.col("raw"))))
+    linked = join_unique(own, sizes.unionByName(all_refs), "key")
+    return linked.select(F.lit(source_table).alias("source_table"), "scope_ref", "canon", "ref", "strings", F.col("others").alias("links"))
+
+
+#: Rows of a group on one side of a task of the pair query; larger groups are cut by a salt.
+PAIR_ROWS = 2_000
+
+
+def lookalike_pairs(rows: DataFrame, source_table: str, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """(source_table, ref_a, ref_b): different refs of one scope whose texts look the same but are different
     strings, ref_a < ref_b.
 
     Repeated rows count once. Null refs and null texts are in no pair; a null scope is a scope. Groups in
     which every string is the same are dropped before the join, so delivered copies, however many, cost
-    nothing there; a ref with several strings is paired through each of them, once per other ref.
+    nothing there; a ref with several strings is paired through each of them, once per other ref. The left side of a group
+    of more than `pair_rows` rows is spread over tasks by a salt, the right side goes to each of them.
     """
-    clean = rows.where(F.col("ref").isNotNull() & F.col("text").isNotNull()).select("scope_ref", "ref", "text").distinct()
-    seen = cut(clean.select("scope_ref", "ref", F.xxhash64("text").alias("raw"), canonical_text("text").alias("canon")).select(
-        F.xxhash64(F.coalesce(F.concat(F.lit("s"), "scope_ref"), F.lit("n")), "canon").alias("k1"),
-        F.xxhash64(F.lit(7), "canon", F.coalesce(F.concat(F.lit("s"), "scope_ref"), F.lit("n"))).alias("k2"),
-        "ref", "raw",
-    ))
+    seen = cut(_seen(rows).select("k1", "k2", "ref", "raw"))
     # The mixed groups: found by combining per task, so a group of a third of all rows is one row per task.
-    mixed = seen.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("k1", "k2")
-    rest = seen.join(mixed, ["k1", "k2"], "left_semi")
-    a, b = rest.toDF("k1", "k2", "ref_a", "raw_a"), rest.toDF("k1", "k2", "ref_b", "raw_b")
-    pairs = a.join(b, ["k1", "k2"]).where("ref_a < ref_b AND raw_a <> raw_b")
+    groups = seen.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    mixed = groups.select("k1", "k2", F.ceil(F.col("n") / pair_rows).cast("int").alias("salts"))
+    rest = cut(seen.join(mixed, ["k1", "k2"]))
+    a = rest.select("k1", "k2", F.col("ref").alias("ref_a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("ref"), F.col("salts")).cast("int").alias("salt"))
+    b = rest.select("k1", "k2", F.col("ref").alias("ref_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["k1", "k2", "salt"]).where("ref_a < ref_b AND raw_a <> raw_b")
     return pairs.select(F.lit(source_table).alias("source_table"), "ref_a", "ref_b").distinct()

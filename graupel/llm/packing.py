@@ -11,6 +11,7 @@ import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import erf
 
 import numpy as np
@@ -30,8 +31,10 @@ AXES = 4
 BITS = 10
 WINDOW = 4096
 OPEN = 256
-#: Containers a range should have at least: what stays unused at its end is at most one container in so many.
-RANGE_CONTAINERS = 1000
+#: Containers a range should have at least: what stays unused at its end is at most one container in so many. And at most, however
+#: many partitions there are: ranges grow with the data.
+RANGE_CONTAINERS, MOST_CONTAINERS = 1000, 50_000
+_TEXTS = 512
 
 
 @lru_cache(maxsize=2)
@@ -48,16 +51,21 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(20240229).standard_normal((HASHED, AXES))
 
 
-def curve_position(tokens: list[int] | np.ndarray) -> np.ndarray:
-    """AXES coordinates of BITS bits of a document: token ids hashed to counts, their roots projected and spread
-    evenly by the normal distribution."""
-    if not len(tokens):
-        return np.zeros(AXES, np.int64)
-    hashed = (np.asarray(tokens, np.uint64) * np.uint64(2654435761)) % np.uint64(HASHED)
-    weights = np.sqrt(np.bincount(hashed.astype(np.int64), minlength=HASHED))
-    x = weights @ _projection() / np.sqrt((weights * weights).sum())
-    share = np.array([0.5 * (1 + erf(v / 1.4142135623730951)) for v in x])
-    return np.clip((share * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+def curve_positions(texts: list[list[int]]) -> np.ndarray:
+    """AXES coordinates of BITS bits of each document: token ids hashed to counts, their roots projected and spread
+    evenly by the normal distribution. A text without tokens is at the origin."""
+    out = np.zeros((len(texts), AXES), np.int64)
+    for start in range(0, len(texts), _TEXTS):
+        some = texts[start : start + _TEXTS]
+        sizes = np.array([len(t) for t in some])
+        tokens = np.fromiter(chain.from_iterable(some), np.uint64, int(sizes.sum()))
+        hashed = (tokens * np.uint64(2654435761)) % np.uint64(HASHED)
+        cells = np.repeat(np.arange(len(some)), sizes) * HASHED + hashed.astype(np.int64)
+        weights = np.sqrt(np.bincount(cells, minlength=len(some) * HASHED).reshape(len(some), HASHED))
+        x = weights @ _projection() / np.sqrt(np.maximum(sizes, 1))[:, None]
+        share = 0.5 * (1 + np.array([erf(v / 1.4142135623730951) for v in x.ravel()]).reshape(x.shape))
+        out[start : start + _TEXTS] = np.where(sizes[:, None] > 0, np.clip((share * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1), 0)
+    return out
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -95,7 +103,7 @@ def measured(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         encode = tokenizer(path).encode_ordinary
         for batch in batches:
             ids = [encode(t) for t in batch["text"]]
-            keys = hilbert_keys(np.array([curve_position(i) for i in ids]).reshape(-1, AXES))
+            keys = hilbert_keys(curve_positions(ids))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(i) for i in ids], "place": keys})
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
@@ -143,15 +151,18 @@ def pack(
         "doc_id", "place", "part", F.least(F.col("tokens") - F.col("part") * capacity, F.lit(capacity)).alias("size")
     )
     every = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
-    ranges = max(1, min(4 * shuffle_partitions(docs.sparkSession), every // (capacity * range_containers)))
+    ranges = max(1, min(every // (capacity * range_containers), max(4 * shuffle_partitions(docs.sparkSession), every // (capacity * MOST_CONTAINERS))))
     spread = F.xxhash64("doc_id", "part")
     ordered = parts.repartitionByRange(ranges, "place", spread).sortWithinPartitions("place", spread, "doc_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
-        for batch in batches:
-            for start in range(0, len(batch), window):
-                rows = batch.iloc[start : start + window]
+        held = None
+        for batch in chain(batches, [None]):  # windows do not depend on how rows come in batches
+            if batch is not None:
+                held = batch if held is None else pd.concat([held, batch])
+            while held is not None and len(held) and (batch is None or len(held) >= window):
+                rows, held = held.iloc[:window], held.iloc[window:]
                 yield pd.DataFrame(
                     {
                         "doc_id": rows["doc_id"], "part": rows["part"], "first_token": rows["part"] * capacity,

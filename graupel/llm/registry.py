@@ -6,4 +6,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_q.SQL)
+    return dict(_q.sql())

@@ -6,14 +6,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graupel.llm.lookalike import ConflictError, Transducer, canonical_text, lookalike_pairs, transducer
+from graupel.llm.lookalike import ConflictError, Transducer, canonical_text, lookalike_classes, lookalike_pairs, transducer
 from pyspark.sql import functions as F
 
 SAME = [
     ("ﬁt", "fit"), ("ｋｅｙ１", "key1"), ("Маrkеt", "Market"), ("téa", "téa"), ("Ðá", "Đá"), ("a​b­", "ab"), ("a  b", "a b"), ("﻿x ", "x"),
     ("Bӑ̀ng", "Bằng"), ("gόp", "góp"), ("ё", "ë"), ("e​́", "é"), ("̀", "̀"), ("a b　", "a b"), ("ẩ", "ẩ"),
 ]
-OTHER = [("5 m²", "5 m2"), ("H₂O", "H2O"), ("O", "0"), ("l", "1"), ("a", "A"), ("à", "a"), ("đ", "d"), ("и", "n"), ("ß", "ss"), ("З", "3"), ("½", "1/2"), ("ab", "a b"), ("к", "k")]
+OTHER = [("5 m²", "5 m2"), ("H₂O", "H2O"), ("O", "0"), ("l", "1"), ("a", "A"), ("à", "a"), ("đ", "d"), ("и", "n"), ("ß", "ss"), ("З", "3"), ("½", "1/2"), ("ab", "a b"), ("к", "k"), ("\U0001f468\u200d\U0001f469", "\U0001f468\U0001f469"), ("\u0915\u094d\u200d\u0937", "\u0915\u094d\u0937")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -57,7 +57,15 @@ def test_pairs_against_brute_force(spark):
     table = spark.createDataFrame(rows, "scope_ref string, ref string, text string, canon string")
     found = lookalike_pairs(table, "q").collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
-    assert lookalike_pairs(table.limit(0), "q").count() == 0
+    assert lookalike_pairs(table.limit(0), "q").count() == 0 and lookalike_classes(table.limit(0), "q").count() == 0
+    assert {tuple(r) for r in lookalike_pairs(table, "q", pair_rows=7).collect()} == want
+    links = {}
+    for a, b in itertools.product({r[:3] for r in rows}, repeat=2):
+        if a[0] == b[0] and None not in (a[1], b[1], a[2], b[2]) and a[1] != b[1] and a[2] != b[2] and t(a[2]) == t(b[2]):
+            links.setdefault((a[0], t(a[2]), a[1]), set()).add(b[1])
+    classes = lookalike_classes(table, "q").collect()
+    known = {(a[0], t(a[2]), a[1]) for a in rows if None not in (a[1], a[2])}
+    assert {(r.scope_ref, r.canon, r.ref): r.links for r in classes} == {k: len(links.get(k, ())) for k in known} and len(classes) == len(known)
 
 
 def test_udf_keeps_nulls_and_long_texts(spark):
