@@ -43,6 +43,17 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore").astype(object).where(texts.notna(), None)
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore").astype(object).where(texts.notna(), None)
+
+
+@F.pandas_udf(StringType())
+def full_casefold(texts: pd.Series) -> pd.Series:
+    """Unicode's full case folding in Arrow batches; casefold() is its form in the JVM, without ligatures and rarer scripts."""
+    return texts.map(str.casefold, na_action="ignore").astype(object).where(texts.notna(), None)
+
+
 def collapse_blanks(text: Column | str) -> Column:
     """Runs of Unicode blanks become one space; none around the text."""
     return F.trim(F.regexp_replace(_c(text), r"(?U)[\s\x1c-\x1f]+", " "))
@@ -202,3 +213,21 @@ def is_link(url: Column | str) -> Column:
 
 def summary(error: Column | str, length: int = 500) -> Column:
     return F.substring(collapse_blanks(error), 1, length)
+
+
+def grouping_namespace(scope: Column | str, language: Column | str) -> Column:
+    trimmed = F.coalesce(F.trim(_c(language)), F.lit(""))
+    return F.concat(F.lit("keyword-group:"), _c(scope), F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(":"), trimmed)))
+
+
+def topic_namespace(scope: Column | str) -> Column:
+    return F.concat(F.lit("topic:"), _c(scope))
+
+
+def model_key(provider: str, model: str, version: str) -> Column:
+    return F.lit(f"{provider}:{model}:{version}")
+
+
+def routing_form(text: Column | str) -> Column:
+    """Compatible forms (NFKC), case folded, every run of other signs than letters, numbers and underscores one blank."""
+    return F.trim(F.regexp_replace(full_casefold(nfkc(_c(text))), r"[^\p{L}\p{N}_]+", " "))

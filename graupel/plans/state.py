@@ -86,8 +86,11 @@ def revisions_against_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batches_missing(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "dataset_keywords").where("batch_index IS NOT NULL")
-    return S.missing_batches(rows, ["revision_id"], "batch_index").select("revision_id", "received", F.array_join(F.array_sort("missing").cast("array<string>"), ",").alias("missing"))
+    """Of each revision the batches it expects and does not have."""
+    rows = load(spark, d, "dataset_keywords").select("revision_id", "batch_index")
+    expected = load(spark, d, "keyword_group_dataset_revisions").select(F.col("id").alias("revision_id"), "expected_batch_count")
+    found = S.missing_batches(rows, expected, ["revision_id"], "batch_index", "expected_batch_count")
+    return found.select("revision_id", "received", F.array_join(F.array_sort("missing").cast("array<string>"), ",").alias("missing"))
 
 
 def batches_clashing(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +183,9 @@ SQL = {
     "revisions_next": "SELECT scope_ref, coalesce(max(revision), 0) + 1 AS next_revision FROM keyword_group_dataset_revisions GROUP BY scope_ref",
     "revisions_committed": "SELECT scope_ref, language, id, revision FROM " + _latest("*", "scope_ref, language", "committed_at", "id", "(SELECT * FROM keyword_group_dataset_revisions WHERE committed_at IS NOT NULL)"),
     "revisions_against_items": "SELECT revision_id, count(*) AS stored, count(DISTINCT ref) AS refs, CAST(any_value(keyword_count) AS BIGINT) AS stated FROM dataset_keywords JOIN keyword_group_dataset_revisions r ON r.id = revision_id GROUP BY revision_id",
-    "batches_missing": "SELECT revision_id, count(DISTINCT batch_index) AS received, coalesce(array_to_string(list_filter(range(1, max(batch_index) + 1), lambda i: NOT list_contains(list(batch_index), i)), ','), '') AS missing FROM dataset_keywords WHERE batch_index IS NOT NULL GROUP BY revision_id",
+    "batches_missing": """WITH got AS (SELECT revision_id, list(DISTINCT batch_index) FILTER (WHERE batch_index IS NOT NULL) AS s FROM dataset_keywords GROUP BY revision_id)
+SELECT id AS revision_id, coalesce(len(s), 0) AS received, coalesce(array_to_string(list_filter(range(1, coalesce(expected_batch_count, 0) + 1), lambda i: NOT list_contains(coalesce(s, []), i)), ','), '') AS missing
+FROM keyword_group_dataset_revisions r LEFT JOIN got g ON g.revision_id = r.id""",
     "batches_clashing": "SELECT revision_id, ref, count(DISTINCT batch_index) AS batches FROM dataset_keywords GROUP BY ALL HAVING count(DISTINCT batch_index) > 1",
     "vectors_upserted": "SELECT namespace, entity_ref, model_key, id FROM semantic_embeddings QUALIFY row_number() OVER (PARTITION BY namespace, entity_ref, model_key ORDER BY id % 2 DESC, updated_at DESC NULLS LAST, id DESC) = 1",
     "vectors_found": f"SELECT namespace, count(*) AS rows, count(DISTINCT entity_ref) AS refs FROM semantic_embeddings WHERE {_GONE} GROUP BY namespace",

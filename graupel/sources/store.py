@@ -29,10 +29,13 @@ def delete(store: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return store.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
-def missing_batches(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """(keys, received, missing): the batch numbers from 1 to the greatest that have no row."""
-    seen = rows.groupBy(*keys).agg(F.collect_set(index).alias("s"), F.max(index).alias("n"))
-    return seen.select(*keys, F.size("s").cast("bigint").alias("received"), F.array_except(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n"))), "s").alias("missing"))
+def missing_batches(rows: DataFrame, expected: DataFrame, keys: list[str], index: str, count: str) -> DataFrame:
+    """(keys, received, missing): the batch numbers from 1 to the expected count that have no row. expected: keys, count.
+    A key without rows misses all."""
+    seen = rows.where(F.col(index).isNotNull()).groupBy(*keys).agg(F.collect_set(index).alias("s"))
+    every = F.when(F.col(count) > 0, F.sequence(F.lit(1), F.col(count).cast("int"))).otherwise(F.array().cast("array<int>"))
+    got = F.coalesce("s", F.array().cast("array<int>"))
+    return expected.join(seen, keys, "left").select(*keys, F.size(got).cast("bigint").alias("received"), F.array_except(every, got).alias("missing"))
 
 
 def write_partitioned(rows: DataFrame, path: str, by: str) -> None:

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from graupel.operators.skew import heavy_scopes, latest_value_per_key, scope_run_totals
+from graupel.operators.skew import heavy_scopes, hot_keys, join_unique, latest_value_per_key, scope_run_totals
 
 SCHEMA = "run_id string, scope_ref string, member_count int, observed_at timestamp, __packed string, run_count int"
 T = datetime(2024, 1, 1)
@@ -62,3 +62,13 @@ def test_latest_value_ties_and_nulls(spark):
 def test_hash_aggregates_only(spark):
     plan = scope_run_totals(spark.createDataFrame(_rows(50), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_join_of_hot_keys_is_a_join(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 1000), ("lost", 1001)], "key string, i int")
+    table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 300, 3)]], "key string, n int")
+    assert [r.key for r in hot_keys(rows, "key", 5).collect()] == ["hot"] and hot_keys(rows, "key") is None
+    for how in ("inner", "left"):
+        plain = sorted(map(repr, rows.join(table, "key", how).collect()))
+        assert sorted(map(repr, join_unique(rows, table, "key", how, least=5).collect())) == plain == sorted(map(repr, join_unique(rows, table, "key", how).collect()))
+    assert join_unique(rows.limit(0), table, "key").count() == 0

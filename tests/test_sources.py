@@ -38,8 +38,9 @@ def test_lookup_and_delete(spark):
 
 
 def test_missing_batches(spark):
-    rows = spark.createDataFrame([(1, 1), (1, 4), (1, 4), (2, 1)], "r int, i int")
-    assert {r.r: sorted(r.missing) for r in S.missing_batches(rows, ["r"], "i").collect()} == {1: [2, 3], 2: []}
+    rows = spark.createDataFrame([(1, 1), (1, 4), (1, 4), (2, 1), (2, None)], "r int, i int")
+    expected = spark.createDataFrame([(1, 6), (2, 1), (3, 2), (4, None)], "r int, n int")
+    assert {r.r: sorted(r.missing) for r in S.missing_batches(rows, expected, ["r"], "i", "n").collect()} == {1: [2, 3, 5, 6], 2: [], 3: [1, 2], 4: []}
 
 
 def test_partition_overwrite(spark, tmp_path):
