@@ -126,24 +126,34 @@ def has_token(haystack: Column, needle: Column) -> Column:
     return (F.trim(needle) != "") & F.regexp_like(haystack, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
 
 
-def matches_value(haystack: Column | str, needle: Column | str, mode: str, composed: bool = True) -> Column:
-    """exact, prefix, token (accent_sensitive), phrase; semantic never matches; any other mode is a phrase without accents."""
-    if mode == "semantic":
-        return F.lit(False)
-    fold = casefold if mode in {"exact", "prefix", "token", "phrase", "accent_sensitive"} else fold_accents
-    h, n = (collapse_blanks(fold(normalize(x, composed))) for x in (haystack, needle))
+def folds_case(mode: str, text: Column | None = None):
+    """Whether a mode keeps accents; with a text, the text folded as the mode has it."""
+    keeps = mode in {"exact", "prefix", "token", "phrase", "accent_sensitive"}
+    return keeps if text is None else (casefold if keeps else fold_accents)(text)
+
+
+def matches_form(form: Column, needle: Column | str, mode: str) -> Column:
+    """As matches_value, of a text that is folded as the mode has it, with single blanks."""
+    n = collapse_blanks(folds_case(mode, F.lit(needle) if isinstance(needle, str) else needle))
     if mode == "exact":
-        hit = h == n
+        hit = form == n
     elif mode == "prefix":
-        hit = F.startswith(h, n)
+        hit = F.startswith(form, n)
     elif mode in {"token", "accent_sensitive"}:
-        hit = has_token(h, n)
+        hit = has_token(form, n)
     else:
         pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-        hit = F.contains(pad(h), pad(n))
+        hit = F.contains(pad(form), pad(n))
     return (n != "") & hit
 
 
+def matches_value(haystack: Column | str, needle: Column | str, mode: str, composed: bool = True) -> Column:
+    """exact, prefix, token (accent_sensitive), phrase; semantic never matches; any other mode is a phrase without accents."""
+    if mode == "semantic":
+        return F.lit(False)
+    return matches_form(collapse_blanks(folds_case(mode, normalize(haystack, composed))), normalize(needle, composed), mode)
+
+
 def is_contact_line(line: Column) -> Column:
     low = F.lower(F.trim(line))
     return (F.length(low) <= CONTACT_LENGTH) & low.rlike(CONTACT_LINE)

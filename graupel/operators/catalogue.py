@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graupel.functions.text import acronyms, casefold, collapse_blanks, has_token, is_generic, words
@@ -28,3 +29,19 @@ def unknown_acronyms(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     known = catalogue.select(F.explode("names").alias("n")).select(casefold("n").alias("folded")).distinct()
     found = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(acronyms("text"))).alias("acronym"))
     return found.where(~is_generic("acronym")).withColumn("folded", casefold("acronym")).join(known, "folded", "left_anti").select("doc_id", "acronym")
+
+
+def suggestions(docs: DataFrame, catalogue: DataFrame, pages: DataFrame, prefixes: tuple[str, ...], most: int = 2) -> DataFrame:
+    """(doc_id, ref, term, score, rank): of each document its best terms: those of the catalogue, and acronyms it does not know
+    for which a lookup found a page of one of the prefixes (0.8). Ties go to the earlier concept, then the smaller term.
+
+    catalogue: ordinal, ref, names. pages: term, url (the answers of a lookup; one a term)."""
+    known = catalogue_terms(docs, catalogue).join(catalogue.select("ref", "ordinal"), "ref")
+    allowed = F.lit(False)
+    for prefix in prefixes:
+        allowed = allowed | F.startswith("url", F.lit(prefix))
+    found = unknown_acronyms(docs, catalogue).withColumnRenamed("acronym", "term").join(pages.where(allowed), "term")
+    looked_up = found.select("doc_id", F.concat(F.lit("wiki:"), casefold("term")).alias("ref"), "term", F.lit(0.8).alias("score"), F.lit(1_000_000).alias("ordinal"))
+    order = W.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal", "term")
+    every = known.select("doc_id", "ref", "term", "score", "ordinal").unionByName(looked_up)
+    return every.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= most).drop("ordinal")

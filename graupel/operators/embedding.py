@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from graupel.functions.text import bind, content_tokens, normalize
+from graupel.functions.vectors import clip, cosine
+from graupel.session import cut
 
 DIMENSIONS = 32
 
@@ -63,3 +65,47 @@ def cached(items: DataFrame, store: DataFrame, namespaces: list[str]) -> DataFra
     )
     joined = items.join(best, ["entity_ref", "model_key", "content_hash"], "left")
     return joined.select(*items.columns, F.col("b.namespace").alias("found_in"), F.col("b.embedding").alias("vector"), F.col("b").isNotNull().alias("hit"))
+
+
+def split_cache(items: DataFrame, store: DataFrame, namespaces: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of cached(), each with the columns of items; hits also with vector and found_in."""
+    both = cut(cached(items, store, namespaces))
+    return both.where("hit").drop("hit"), both.where("NOT hit").select(*items.columns)
+
+
+def embedded(
+    items: DataFrame, store: DataFrame, namespaces: list[str], embed: Callable[[Column], Column] = token_vector, at: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(items with vector and hit, records to write back). Stored vectors of the same content are taken; the others' texts are
+    embedded, every different content once. Records are rows for the first namespace, to be upserted.
+
+    items: entity_ref, model_key, content_hash, text. Blank and null texts have no vector and are no record."""
+    hits, misses = split_cache(items, store, namespaces)
+    distinct = misses.where(F.coalesce(F.trim("text"), F.lit("")) != "").groupBy("model_key", "content_hash").agg(F.min("text").alias("text"))
+    fresh = cut(distinct.select("model_key", "content_hash", embed("text").alias("vector")))
+    filled = misses.join(fresh, ["model_key", "content_hash"], "left").select(*items.columns, "vector", F.lit(False).alias("hit"))
+    known = hits.select(*items.columns, F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("hit"))
+    stamp = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    records = filled.where("vector IS NOT NULL").select(
+        F.lit(namespaces[0]).alias("namespace"), "entity_ref", "model_key", "content_hash", F.size("vector").alias("dimensions"), F.col("vector").alias("embedding"), stamp.alias("updated_at")
+    ).distinct()
+    return known.unionByName(filled), records
+
+
+class CacheMissError(ValueError):
+    """Some items have no stored vector."""
+
+
+def all_cached(items: DataFrame, store: DataFrame, namespaces: list[str]) -> DataFrame:
+    """The hits, if there is no miss; else an error with the numbers."""
+    hits, misses = split_cache(items, store, namespaces)
+    missing = misses.count()
+    if missing:
+        raise CacheMissError(f"{missing} of {missing + hits.count()} items have no stored vector")
+    return hits
+
+
+def text_relevance(pairs: DataFrame) -> DataFrame:
+    """pairs with relevance: the cosine of source and target vectors, from 0 to 1, or, where a text is blank and so has no
+    vector, the relevance that is there. pairs: source_vector, target_vector, relevance."""
+    return pairs.withColumn("relevance", F.coalesce(clip(cosine("source_vector", "target_vector")), "relevance"))

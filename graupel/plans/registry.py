@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graupel.plans import analysis, matching, similarity, state, texts, training
+from graupel.plans import analysis, intents, matching, records, similarity, state, texts, training
 
 FLAGSHIP = "knn_topk"
-_PARTS = (training, texts, similarity, matching, state, analysis)
+_PARTS = (training, texts, similarity, matching, intents, state, records, analysis)
 
 
 def queries() -> dict:
