@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graupel.functions.vectors import cohesion, confidence
-from graupel.operators.blocks import unit
+from graupel.operators.blocks import each_key, matrix, unit
 from graupel.operators.edges import components, similarity_edges
 
 ALGORITHMS = ("average_linkage", "greedy_medoid_v1", "greedy_medoid_v2")
@@ -24,25 +24,51 @@ def medoid(members: np.ndarray, similarity: np.ndarray) -> int:
 
 
 def average_linkage(similarity: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """Merges the two closest clusters (mean pairwise distance) while that is at most 1 - threshold."""
+    """The clusters of mean pairwise distance (average linkage) cut at 1 - threshold. A chain of nearest neighbours finds the merges
+    in time of the square of the rows; average linkage is reducible, so they are those of merging the two closest each time."""
     n = len(similarity)
     distance = 1.0 - similarity
     np.fill_diagonal(distance, np.inf)
     size = np.ones(n)
-    members: list[list[int] | None] = [[i] for i in range(n)]
+    merges: list[tuple[float, int, int]] = []
+    alive = np.ones(n, bool)
+    chain: list[int] = []
     for _ in range(n - 1):
-        flat = int(np.argmin(distance))
-        i, j = divmod(flat, n)
-        if not distance[i, j] <= 1.0 - threshold + 1e-12:
-            break
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            row = distance[chain[-1]]
+            nearest = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
+                nearest = chain[-2]  # at equal distance back, so that the chain ends
+            if len(chain) > 1 and nearest == chain[-2]:
+                break
+            chain.append(nearest)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((distance[i, j], i, j))
         joined = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
         distance[i], distance[:, i] = joined, joined
         distance[i, i] = np.inf
         distance[j], distance[:, j] = np.inf, np.inf
         size[i] += size[j]
-        members[i] += members[j]
-        members[j] = None
-    return [np.array(sorted(m)) for m in members if m]
+        alive[j] = False
+    # each merge is of the clusters that then hold rows i and j; heights grow from the leaves up
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for height, i, j in merges:
+        if height <= 1.0 - threshold + 1e-12:
+            a, b = sorted((top(i), top(j)))
+            parent[b] = a
+    members: dict[int, list[int]] = {}
+    for x in range(n):
+        members.setdefault(top(x), []).append(x)
+    return [np.array(m) for m in members.values()]
 
 
 def greedy_medoids(similarity: np.ndarray, density: float, member: float, pool_only: bool) -> list[np.ndarray]:
@@ -63,40 +89,45 @@ def greedy_medoids(similarity: np.ndarray, density: float, member: float, pool_o
     return out
 
 
-def _kernel(algorithm: str, threshold: float, member: float, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        u = unit(np.stack(rows["vector"].to_numpy()))
+#: Rows of a component that one task clusters: its matrix of similarities takes 8 bytes a pair, 800 MB.
+MOST_ROWS = 10_000
+
+
+def _kernel(algorithm: str, threshold: float, member: float, least: int, most: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows > most:
+            raise ValueError(f"a component of {table.num_rows} rows; {algorithm} takes at most {most}: raise the threshold, or use density peaks")
+        table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable")))
+        ids = table["id"].to_numpy()
+        u = unit(matrix(table["vector"].combine_chunks()))
         similarity = u @ u.T
         if algorithm == "average_linkage":
             found = average_linkage(similarity.copy(), threshold)
         else:
             found = greedy_medoids(similarity, threshold, member, algorithm == "greedy_medoid_v1")
-        ids = rows["id"].to_numpy()
-        parts = []
         for cluster in found:
             if len(cluster) >= least:
-                m = medoid(cluster, similarity)
-                parts.append(pd.DataFrame({"group": rows["group"].iloc[0], "id": ids[cluster], "cluster": ids[cluster].min(), "representative": ids[m], "score": similarity[cluster, m]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"group": [], "id": [], "cluster": [], "representative": [], "score": []})
+                m, n = medoid(cluster, similarity), len(cluster)
+                columns = (np.full(n, table["group"][0].as_py()), ids[cluster], np.full(n, ids[cluster].min()), np.full(n, ids[m]), similarity[cluster, m])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "id", "cluster", "representative", "score"])
 
     return run
 
 
-def cluster_points(points: DataFrame, algorithm: str = "average_linkage", threshold: float = 0.74, member: float = 0.77, least: int = 2) -> DataFrame:
+def cluster_points(points: DataFrame, algorithm: str = "average_linkage", threshold: float = 0.74, member: float = 0.77, least: int = 2, most: int = MOST_ROWS) -> DataFrame:
     """(group, id, cluster, representative, score): members of every cluster of at least `least`; `cluster` is the smallest id,
     `score` the cosine to the representative.
 
     Two rows below the threshold of the graph are never joined directly, so each component is clustered alone and the result
-    is that of the whole. The rule inside a component is sequential by nature; its memory grows with the square of the largest
-    component. points: group BIGINT, id BIGINT (unique), vector ARRAY. Null vectors are left out.
+    is that of the whole. The rule inside a component is sequential by nature; its memory grows with the square of the
+    component, and a component of more than `most` rows is an error that says so. points: group BIGINT, id BIGINT (unique), vector ARRAY. Null vectors are left out.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     rows = points.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("group", "id", F.col("vector").cast("array<double>").alias("vector"))
     cutoff = threshold if algorithm == "average_linkage" else min(threshold, member)
     labels = components(similarity_edges(rows, cutoff - 1e-9))
-    return rows.join(labels, "id").groupBy("group", "component").applyInPandas(_kernel(algorithm, threshold, member, least), _SCHEMA)
+    return each_key(rows.join(labels, "id").select("component", "group", "id", "vector"), "component", _kernel(algorithm, threshold, member, least, most), _SCHEMA)
 
 
 def assigned(members: DataFrame, floor: float = 0.70, least: int = 2, low: float = 0.35) -> tuple[DataFrame, DataFrame]:

@@ -47,22 +47,44 @@ def similarity_edges(points: DataFrame, cutoff: float, block_rows: int = BLOCK_R
     return each_key(pairs, "pair", work, "`group` bigint, a bigint, b bigint, score double")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(group, id, other, score): every edge from both ends."""
-    return edges.select("group", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "score").select(
-        "group", "e.id", "e.other", "score"
-    )
+def nearest_edges(points: DataFrame, cutoff: float, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group, id, other, score, rank): of each row the k most similar of its group with cosine >= cutoff, scores rounded to 6
+    places, ties to the smaller id. A block keeps k a row, so pairs are never listed. points as in similarity_edges."""
+    known = points.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
+    pairs = block_pairs(known.select("group", "id", F.col("vector").cast("array<double>").alias("vector")), block_rows)
+
+    def best(ids: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+        right = right[np.argsort(ids[right], kind="stable")]
+        for start in range(0, len(left), _ROWS):
+            some = left[start : start + _ROWS]
+            exact = np.clip(rows[some] @ rows[right].T, -1.0, 1.0)
+            scores = np.where((exact >= cutoff) & (ids[some][:, None] != ids[right][None, :]), np.round(exact, 6), -2.0)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(scores, top, 1)
+            i, j = np.nonzero(value > -2.0)
+            if len(i):
+                columns = (np.full(len(i), group), ids[some[i]], ids[right[top[i, j]]], value[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "id", "other", "score"])
 
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, rows, group = table["id"].to_numpy(), unit(matrix(table["vector"].combine_chunks())), table["group"][0].as_py()
+        if table["same"][0].as_py():
+            yield from best(ids, rows, np.arange(len(ids)), np.arange(len(ids)), group)
+        else:
+            side = table["side"].to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            yield from best(ids, rows, left, right, group)
+            yield from best(ids, rows, right, left, group)
 
-def top_neighbours(edges: DataFrame, k: int = 3) -> DataFrame:
-    """(group, id, other, score, rank): the k best of each id, score descending, then id."""
+    found = each_key(pairs, "pair", work, "`group` bigint, id bigint, other bigint, score double")
     order = W.partitionBy("group", "id").orderBy(F.desc("score"), "other")
-    return both_ways(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def reciprocal_pairs(edges: DataFrame, k: int = 3) -> DataFrame:
-    """(group, a, b, score): pairs of which each is among the k best of the other. An aggregate instead of a self-join."""
-    top = top_neighbours(edges, k).select("group", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "score")
+def reciprocal_pairs(nearest: DataFrame) -> DataFrame:
+    """(group, a, b, score): pairs of which each is among the k best of the other (see nearest_edges). An aggregate instead of a
+    self-join."""
+    top = nearest.select("group", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "score")
     return top.groupBy("group", "a", "b").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 

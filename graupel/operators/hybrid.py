@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graupel.operators.blocks import each_key
 from graupel.operators.edges import components, similarity_edges
 from graupel.operators.lexical import COMPATIBLE, CONTAINMENT, INCOMPATIBLE, pair_evidence, pair_relation
 from graupel.session import cut
@@ -21,16 +24,15 @@ def _within(short: tuple, long: tuple) -> bool:
 class _Grouping:
     """One component: rows ordered by id, and what is known of each pair of them."""
 
-    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame, floor: float, rescue: float, containment: float, least: int) -> None:
-        self.ids = sorted(nodes["id"])
-        self.tokens = {i: tuple(t) for i, t in zip(nodes["id"], nodes["tokens"])}
+    def __init__(self, nodes: list[tuple], edges: list[tuple], floor: float, rescue: float, containment: float, least: int) -> None:
+        """nodes: (id, tokens); edges: (a, b, score, relation, compatible, conflict, containment)."""
+        self.tokens = {i: tuple(t) for i, t in nodes}
+        self.ids = sorted(self.tokens)
         self.floor, self.rescue, self.containment, self.least = floor, rescue, containment, least
         self.around: dict[int, dict[int, tuple]] = {i: {} for i in self.ids}
-        for e in edges.itertuples(index=False):
-            fact = (e.score, e.relation, e.lexically_compatible, e.conflict, e.containment)
-            self.around[e.a][e.b] = fact
-            self.around[e.b][e.a] = fact
-        self.groups: list[tuple[int, list[int]]] = []  # representative, members
+        for a, b, *fact in edges:
+            self.around[a][b] = self.around[b][a] = tuple(fact)
+        self.groups: dict[int, list[int]] = {}  # members by representative
         self.free = set(self.ids)
         self.ambiguous: set[int] = set()
 
@@ -62,10 +64,11 @@ class _Grouping:
         ]
         for _, i, j in sorted(pairs):
             if i in self.free and j in self.free:
-                self.groups.append((i, [i, j]))  # both have the same mean to the other: the smaller id represents
+                self.groups[i] = [i, j]  # both have the same mean to the other: the smaller id represents
                 self.free -= {i, j}
         for i in sorted(self.free - self.ambiguous):
-            fits = [members for representative, members in self.groups if self.coherent(i, representative, members, floor, near)]
+            # only groups whose representative is a neighbour can take the row
+            fits = [self.groups[r] for r in self.around[i] if r in self.groups and self.coherent(i, r, self.groups[r], floor, near)]
             if len(fits) == 1:
                 fits[0].append(i)
                 self.free.discard(i)
@@ -84,7 +87,7 @@ class _Grouping:
         self.pass_over(self.floor)
         self.pass_over(self.rescue)
         out = []
-        for representative, members in self.groups:
+        for representative, members in self.groups.items():
             if len(members) >= self.least:
                 out += [(m, min(members), representative, None) for m in members]
             else:
@@ -109,16 +112,21 @@ def group_texts(points: DataFrame, floor: float = FLOOR, rescue: float = RESCUE,
     judged = judged.withColumn("relation", pair_relation(floor, shared_evidence=F.arrays_overlap("keys_a", "keys_b")))
     facts = cut(judged.select("group", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment"))
     labels = components(facts)
-    nodes = rows.join(labels, "id").select("group", "id", "tokens", "component")
-    parts = labels.select(F.col("id").alias("a"), F.col("component").alias("part"))
-    links = facts.join(parts, "a").select("part", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment")
-
-    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(_Grouping(n, e, floor, rescue, containment, least).run(), columns=["id", "cluster", "representative", "reason"])
-        found.insert(0, "group", n["group"].iloc[0])
-        return found.astype({"cluster": "Int64", "representative": "Int64"})
-
-    grouped = nodes.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(kernel, _SCHEMA)
+    fields = {"a": "bigint", "b": "bigint", "score": "double", "relation": "string", "lexically_compatible": "boolean", "conflict": "boolean", "containment": "double"}
+    nodes = rows.join(labels, "id").select("component", "group", "id", "tokens", *[F.lit(None).cast(t).alias(f) for f, t in fields.items()])
+    parts = labels.select(F.col("id").alias("a"), "component")
+    links = facts.join(parts, "a").select("component", "group", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<string>").alias("tokens"), *fields)
+
+    def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = {n: table[n].to_pylist() for n in ("id", "tokens", *fields)}
+        own = [(i, t) for i, t in zip(columns["id"], columns["tokens"]) if i is not None]
+        edges = [e for e in zip(*(columns[f] for f in fields)) if e[0] is not None]
+        found = _Grouping(own, edges, floor, rescue, containment, least).run()
+        group = pa.array([table["group"][0].as_py()] * len(found), pa.int64())
+        rest = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([group, *rest], names=["group", "id", "cluster", "representative", "reason"])
+
+    grouped = each_key(nodes.unionByName(links), "component", kernel, _SCHEMA)
     alone = rows.join(labels, "id", "left_anti").select(
         "group", "id", F.lit(None).cast("bigint").alias("cluster"), F.lit(None).cast("bigint").alias("representative"), F.lit("below_semantic_floor").alias("reason")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graupel.functions.vectors import clip
+from graupel.operators.skew import join_unique
 
 
 def blend(similarities: Column) -> Column:
@@ -33,13 +34,17 @@ def boosted(semantic: Column, exact: Column, label: Column, example: Column) ->
 def inbound_metrics(candidates: DataFrame, key: str = "source_ref") -> DataFrame:
     """Per key: rows without inbound links, median, 90th percentile (nearest rank), maximum, repeated refs, and the share of all
     links that goes to the top fifth. candidates: key, ref, inbound BIGINT."""
+    # counts of equal numbers combine per task; what is ranked is the few different numbers of a key
+    values = candidates.groupBy(key, "inbound").agg(F.count(F.lit(1)).alias("c"))
     order = W.partitionBy(key).orderBy(F.desc("inbound"))
-    ranked = candidates.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key))).withColumn("place", F.row_number().over(order))
+    ranked = values.withColumn("before", F.sum("c").over(order) - F.col("c")).withColumn("n", F.sum("c").over(W.partitionBy(key)))
+    place = F.col("n") - F.rint((F.col("n") - 1) * F.lit(0.9))
     top = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), top - F.col("before")))
     stats = ranked.groupBy(key).agg(
-        F.count_if(F.col("inbound") == 0).alias("zero_inbound"), F.median("inbound").alias("median_inbound"),
-        F.max(F.when(F.col("place") == F.col("n") - F.rint((F.col("n") - 1) * F.lit(0.9)), F.col("inbound"))).cast("double").alias("p90_inbound"), F.max("inbound").alias("max_inbound"),
-        F.try_divide(F.sum(F.when(F.col("place") <= top, F.col("inbound"))), F.sum("inbound")).alias("c"),
+        F.sum(F.when(F.col("inbound") == 0, F.col("c")).otherwise(0)).alias("zero_inbound"), F.percentile("inbound", F.lit(0.5), F.col("c")).alias("median_inbound"),
+        F.max(F.when((place > F.col("before")) & (place <= F.col("before") + F.col("c")), F.col("inbound"))).cast("double").alias("p90_inbound"), F.max("inbound").alias("max_inbound"),
+        F.try_divide(F.sum(taken * F.col("inbound")), F.sum(F.col("c") * F.col("inbound"))).alias("c"),
     )
     twice = candidates.groupBy(key, "ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy(key).agg(F.count(F.lit(1)).alias("repeated_refs"))
     return stats.join(twice, key, "left").select(
@@ -53,8 +58,9 @@ def balanced_rank(candidates: DataFrame, key: str = "source_ref", overuse: float
     a ref that was taken lose `repetition`. Greedy selection in closed form: of a ref the best row is taken first, all others carry
     the penalty. candidates: key, ref, ordinal, inbound, relevance."""
     per_key = W.partitionBy(key)
-    scale = F.greatest(F.lit(1.0), F.max("inbound").over(per_key))
-    base = candidates.withColumn("scale", scale).withColumn("median", F.median("inbound").over(per_key))
+    values = candidates.groupBy(key, "inbound").agg(F.count(F.lit(1)).alias("c"))
+    stats = values.groupBy(key).agg(F.greatest(F.lit(1.0), F.max("inbound")).alias("scale"), F.percentile("inbound", F.lit(0.5), F.col("c")).alias("median"))
+    base = join_unique(candidates, stats, key)
     over = overuse * F.greatest(F.lit(0.0), F.col("inbound") - F.col("median")) / F.col("scale")
     bonus = F.when(F.col("inbound") == 0, F.lit(underlinked)).otherwise(F.lit(0.0))
     nudge = lambda r: clip(bonus - over - r, -0.08, 0.08)

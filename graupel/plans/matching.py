@@ -10,7 +10,7 @@ from graupel.functions.text import content_tokens
 from graupel.operators import catalogue as K
 from graupel.operators import concepts as C
 from graupel.operators import ranking as R
-from graupel.operators.edges import similarity_edges, top_neighbours
+from graupel.operators.edges import nearest_edges, similarity_edges
 from graupel.operators.embedding import DIMENSIONS, token_vector
 from graupel.operators.hybrid import group_texts
 from graupel.operators.lexical import pair_evidence, pair_relation
@@ -28,21 +28,20 @@ def _keywords(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    edges = similarity_edges(_keywords(spark, d), FLOOR).withColumn("score", F.round("score", 6))
-    return top_neighbours(edges).select("id", "other", "score", F.col("rank").cast("bigint").alias("rank"))
+def _near(rows: DataFrame) -> DataFrame:
+    return nearest_edges(rows, FLOOR).select("id", "other", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def keyword_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d)
+    return _near(_keywords(spark, d))
 
 
 def lexical_relations(spark: SparkSession, d: str) -> DataFrame:
     """Evidence and relation of every keyword and its three nearest of the same scope, as its SQL has it. Copies can fill the
     three places: lexical_class_relations has all pairs."""
-    rows = _keywords(spark, d)
+    rows = cut(_keywords(spark, d))
     a, b = (rows.select(F.col("id").alias(i), F.col("tokens").alias(f"tokens_{s}"), F.col("keys").alias(f"keys_{s}")) for i, s in (("id", "a"), ("other", "b")))
-    pairs = pair_evidence(_near(spark, d).join(a, "id").join(b, "other"))
+    pairs = pair_evidence(_near(rows).join(a, "id").join(b, "other"))
     shared = F.arrays_overlap("keys_a", "keys_b")
     return pairs.select(
         "id", "other", F.round("containment", 6).alias("containment"), "lexically_compatible", "conflict", pair_relation(0.9, shared_evidence=shared).alias("relation")

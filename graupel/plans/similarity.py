@@ -10,6 +10,7 @@ from graupel.functions import vectors as V
 from graupel.operators import clustering as C
 from graupel.operators import edges as E
 from graupel.operators.search import search
+from graupel.operators.skew import join_unique
 from graupel.session import load
 
 TAU = 0.35
@@ -50,12 +51,12 @@ def cosine_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours_top3(spark: SparkSession, d: str) -> DataFrame:
-    top = E.top_neighbours(_rounded(E.similarity_edges(_points(spark, d), 0.3)))
+    top = E.nearest_edges(_points(spark, d), 0.3)
     return top.select("id", "other", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def reciprocal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return E.reciprocal_pairs(_rounded(E.similarity_edges(_points(spark, d), 0.3))).select("a", "b", "score")
+    return E.reciprocal_pairs(E.nearest_edges(_points(spark, d), 0.3)).select("a", "b", "score")
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,7 @@ def medoid_by_label(spark: SparkSession, d: str) -> DataFrame:
     rows = _by_label(spark, d).select("group", "id", V.normalized("vector").alias("u"))
     sums = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(64)])
     sums = sums.select("group", "n", F.array(*[F.col(f"s{i}") for i in range(64)]).alias("total"))
-    means = rows.join(F.broadcast(sums), "group").select("group", "id", F.round(V.dot("u", "total") / F.col("n"), 6).alias("mean_score"))
+    means = join_unique(rows, sums, "group").select("group", "id", F.round(V.dot("u", "total") / F.col("n"), 6).alias("mean_score"))
     best = means.groupBy("group").agg(F.min(F.struct((-F.col("mean_score")).alias("s"), "id")).alias("b"))
     return best.select(F.col("group").cast("int").alias("label"), F.col("b.id").alias("representative"), (-F.col("b.s")).alias("mean_score"))
 
@@ -77,7 +78,7 @@ def _given_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = _by_label(spark, d)
     reps = medoid_by_label(spark, d).select(F.col("label").cast("bigint").alias("group"), F.col("representative").alias("id"))
     vectors = reps.join(rows, ["group", "id"]).select("group", F.col("id").alias("representative"), F.col("vector").alias("rep_vector"))
-    return rows.join(F.broadcast(vectors), "group").select("group", "id", F.col("group").alias("cluster"), "representative", V.cosine("vector", "rep_vector").alias("score"))
+    return join_unique(rows, vectors, "group").select("group", "id", F.col("group").alias("cluster"), "representative", V.cosine("vector", "rep_vector").alias("score"))
 
 
 def group_stats(spark: SparkSession, d: str) -> DataFrame:

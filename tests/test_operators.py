@@ -155,6 +155,42 @@ def test_assigned_counts_low_confidence_before_dropping(spark):
     assert (row["size"], row.low_confidence, row.min_score) == (2, 1, 0.71)
 
 
-def test_top_neighbours_without_edges(spark):
-    empty = spark.createDataFrame([], "`group` bigint, a bigint, b bigint, score double")
-    assert E.reciprocal_pairs(empty).count() == 0 and F is not None
+@pytest.mark.parametrize("block", [7, 1000])
+def test_nearest_edges_against_all_pairs(spark, block):
+    rows = _points() + [(0, 500, None), (0, None, [1.0] * 6)]
+    found = E.nearest_edges(spark.createDataFrame(rows, POINTS), 0.7, 3, block).collect()
+    want = set()
+    for a in rows[:120]:
+        near = sorted((-round(_cos(a[2], b[2]), 6), b[1]) for b in rows[:120] if a[0] == b[0] and a[1] != b[1] and _cos(a[2], b[2]) >= 0.7)
+        want |= {(a[1], o, n + 1) for n, (_, o) in enumerate(near[:3])}
+    assert {(r["id"], r.other, r["rank"]) for r in found} == want and len(found) == len(want)
+    empty = E.nearest_edges(spark.createDataFrame([], POINTS), 0.7)
+    assert empty.count() == 0 and E.reciprocal_pairs(empty).count() == 0 and F is not None
+
+
+def _closest_first(similarity, threshold):
+    """Average linkage by merging the two closest clusters each time."""
+    clusters = [[i] for i in range(len(similarity))]
+    while len(clusters) > 1:
+        far = [(1 - float(similarity[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
+        height, i, j = min(far)
+        if height > 1 - threshold + 1e-12:
+            break
+        clusters[i] += clusters.pop(j)
+    return {tuple(sorted(c)) for c in clusters}
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("threshold", [0.9, 0.74, 0.3, -1.0])
+def test_average_linkage_is_that_of_merging_the_closest(seed, threshold):
+    u = C.unit(np.array([r[2] for r in _points(40, seed=seed)]))
+    similarity = u @ u.T
+    assert {tuple(c) for c in C.average_linkage(similarity.copy(), threshold)} == _closest_first(similarity, threshold)
+
+
+def test_a_component_over_the_bound_is_an_error(spark):
+    rows = spark.createDataFrame([(0, i, [1.0, i / 1000]) for i in range(12)], POINTS)
+    with pytest.raises(Exception, match="a component of 12 rows"):
+        C.cluster_points(rows, most=10).collect()
+    assert C.cluster_points(rows, most=12).count() == 12
+
