@@ -251,6 +251,10 @@ raw AS (SELECT *, CASE WHEN inbound = 0 THEN 0.03 ELSE 0.0 END - 0.05 * greatest
 two AS (SELECT *, relevance + greatest(-0.08, least(0.08, x)) AS once, relevance + greatest(-0.08, least(0.08, x - 0.04)) AS again FROM raw),
 fin AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_ref, ref ORDER BY once DESC, ordinal) = 1 THEN once ELSE again END AS f FROM two)
 SELECT source_ref, ref, ordinal, round(f, 6) AS score, row_number() OVER (PARTITION BY source_ref ORDER BY f DESC, ordinal) AS rank FROM fin QUALIFY rank <= 10""",
+    "spaced_sections": """WITH s AS (SELECT user_id AS article, event_id AS id, value AS score, event_id % 5000 AS pos FROM events),
+a AS (SELECT article, list([{'pos': pos, 'id': id}] ORDER BY -score NULLS FIRST, pos, id) AS l, sum(40) AS words FROM s GROUP BY article),
+p AS (SELECT article, list_reduce(l, lambda got, x: CASE WHEN len(got) < least(5, greatest(1, words // 350)) AND len(list_filter(got, lambda g: abs(g.pos - x[1].pos) < 180)) = 0 THEN got || x ELSE got END) AS got FROM a)
+SELECT article, array_to_string(list_transform(list_sort(got), lambda g: g.id), ',') AS picked FROM p""",
     "catalogue_terms": rf"""WITH name(ref, ordinal, term) AS (VALUES {_NAMES}), body AS (SELECT doc_id, {sql_fold('text')} AS t FROM documents WHERE text IS NOT NULL),
 hit AS (SELECT doc_id, ref, ordinal, term FROM body, name WHERE regexp_matches(regexp_replace(t, '[\s\pZ]+', ' ', 'g'), '(^|[^\pL\pN_])' || regexp_escape({sql_fold('term')}) || '($|[^\pL\pN_])'))
 SELECT doc_id, ref, term, CASE WHEN upper(term) = term AND lower(term) <> term THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY ordinal) = 1""",
