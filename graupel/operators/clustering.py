@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graupel.functions.vectors import cohesion, confidence
 from graupel.operators.blocks import each_key, matrix, unit
-from graupel.operators.edges import components, similarity_edges
+from graupel.operators.edges import components, group_components, similarity_edges
+from graupel.session import cut
 
 ALGORITHMS = ("average_linkage", "greedy_medoid_v1", "greedy_medoid_v2")
 _SCHEMA = "`group` bigint, id bigint, cluster bigint, representative bigint, score double"
@@ -71,6 +73,58 @@ def average_linkage(similarity: np.ndarray, threshold: float) -> list[np.ndarray
     return [np.array(m) for m in members.values()]
 
 
+#: Links whose similarity is computed at a time.
+_LINKS = 1 << 18
+
+
+def _similar(sums: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The mean cosine between clusters a and b: that of their sums of unit vectors, by their sizes."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), _LINKS):
+        i, j = a[k : k + _LINKS], b[k : k + _LINKS]
+        out[k : k + _LINKS] = np.einsum("ij,ij->i", sums[i], sums[j]) / (size[i] * size[j])
+    return out
+
+
+def linked_clusters(u: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """average_linkage() of unit vectors without their matrix: of every row the first row of its cluster. A row counts `weight`
+    times; a < b are all pairs of rows at or above the threshold.
+
+    A mean reaches the threshold only if a pair does, so only linked clusters can merge, and the link of a union comes from a
+    link of its parts. Clusters nearest to each other merge, all such pairs in one round: average linkage is reducible. At equal
+    similarity the smaller rows come first. Memory grows with the links."""
+    n, low = len(u), threshold - 1e-12
+    sums, size, label = u * weight[:, None], weight.astype(np.float64), np.arange(n)
+    score = _similar(sums, size, a, b)
+    fits = score >= low
+    a, b, score = a[fits], b[fits], score[fits]
+    while len(a):
+        most = np.full(n, -np.inf)
+        np.maximum.at(most, a, score)
+        np.maximum.at(most, b, score)
+        both = np.flatnonzero((score == most[a]) & (score == most[b]))
+        both = both[np.lexsort((b[both], a[both]))]
+        place, first = np.arange(len(both)), np.full(n, len(both))
+        np.minimum.at(first, a[both], place)
+        np.minimum.at(first, b[both], place)
+        both = both[(first[a[both]] == place) & (first[b[both]] == place)]
+        i, j, to = a[both], b[both], np.arange(n)
+        sums[i] += sums[j]
+        size[i] += size[j]
+        to[j] = i
+        label = to[label]
+        changed = np.zeros(n, bool)
+        changed[i] = changed[j] = True
+        again = changed[a] | changed[b]
+        x, y = to[a[again]], to[b[again]]
+        key = np.unique(np.minimum(x, y)[x != y] * n + np.maximum(x, y)[x != y])
+        x, y = key // n, key % n
+        renewed = _similar(sums, size, x, y)
+        fits = renewed >= low
+        a, b, score = (np.concatenate((old[~again], new[fits])) for old, new in ((a, x), (b, y), (score, renewed)))
+    return label
+
+
 def greedy_medoids(similarity: np.ndarray, density: float, member: float, pool_only: bool) -> list[np.ndarray]:
     """Takes the row with most free neighbours at `density` (first at ties) as seed, and with it the free rows at `member`
     from it; with pool_only these must also reach `density`."""
@@ -89,23 +143,65 @@ def greedy_medoids(similarity: np.ndarray, density: float, member: float, pool_o
     return out
 
 
-#: Rows of a component that one task clusters: its matrix of similarities takes 8 bytes a pair, 800 MB.
+#: Rows of a component that one task clusters by greedy medoids: its matrix of similarities takes 8 bytes a pair, 800 MB.
 MOST_ROWS = 10_000
 
 
+def _too_many(rows: int, algorithm: str, most: int) -> ValueError:
+    return ValueError(f"a component of {rows} rows; {algorithm} takes at most {most}: raise the threshold, or use density peaks")
+
+
+def _linkage_kernel(threshold: float, least: int, most: int | None) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        links = table.filter(pc.is_valid(table["a"]))
+        table = table.filter(pc.is_valid(table["id"]))
+        table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable")))
+        ids, weight = table["id"].to_numpy(), table["copies"].to_numpy()
+        if most is not None and weight.sum() > most:
+            raise _too_many(int(weight.sum()), "average_linkage", most)
+        u = unit(matrix(table["vector"].combine_chunks()))
+        a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in "ab")
+        label = linked_clusters(u, weight, a[a < b], b[a < b], threshold)
+        size = np.bincount(label, weight, len(ids))
+        sums = np.zeros_like(u)
+        np.add.at(sums, label, u * weight[:, None])
+        mean = np.round(np.einsum("ij,ij->i", u, sums[label]) / size[label], 12)
+        medoid = np.zeros(len(ids), np.int64)
+        order = np.lexsort((-np.arange(len(ids)), mean))
+        medoid[label[order]] = order  # the last holds: the highest mean, and the first row at ties
+        kept = np.flatnonzero(size[label] >= least)
+        top = medoid[label[kept]]
+        columns = (np.full(len(kept), table["group"][0].as_py()), ids[kept], ids[label[kept]], ids[top], np.einsum("ij,ij->i", u[kept], u[top]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "id", "cluster", "representative", "score"])
+
+    return run
+
+
+def _average_linkage(rows: DataFrame, threshold: float, least: int, most: int | None) -> DataFrame:
+    """Equal vectors merge before all others, so they are one row with a number of copies; a link of that row with itself keeps
+    it where it has no other. Zero vectors are not similar to their copies."""
+    zero = F.when(~F.exists("vector", lambda x: x != 0), F.col("id"))
+    alike = rows.groupBy("group", "vector", zero.alias("zero")).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids"))
+    alike = cut(alike.select("group", "id", "vector", F.size("ids").cast("bigint").alias("copies"), "ids"))
+    own = alike.where("copies > 1").select("group", F.col("id").alias("a"), F.col("id").alias("b"))
+    links = cut(similarity_edges(alike, threshold - 1e-9).select("group", "a", "b").unionByName(own))
+    labels = cut(group_components(links))
+    nodes = alike.join(labels, "id").select("component", "group", "id", "vector", "copies", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    none = {"group": "bigint", "id": "bigint", "vector": "array<double>", "copies": "bigint"}
+    pairs = links.where("a != b").join(labels.select(F.col("id").alias("a"), "component"), "a").select("component", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "a", "b")
+    found = each_key(nodes.unionByName(pairs), "component", _linkage_kernel(threshold, least, most), _SCHEMA)
+    return found.join(alike.select("id", "ids"), "id").select("group", F.explode("ids").alias("id"), "cluster", "representative", "score")
+
+
 def _kernel(algorithm: str, threshold: float, member: float, least: int, most: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows > most:
-            raise ValueError(f"a component of {table.num_rows} rows; {algorithm} takes at most {most}: raise the threshold, or use density peaks")
+            raise _too_many(table.num_rows, algorithm, most)
         table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable")))
         ids = table["id"].to_numpy()
         u = unit(matrix(table["vector"].combine_chunks()))
         similarity = u @ u.T
-        if algorithm == "average_linkage":
-            found = average_linkage(similarity.copy(), threshold)
-        else:
-            found = greedy_medoids(similarity, threshold, member, algorithm == "greedy_medoid_v1")
-        for cluster in found:
+        for cluster in greedy_medoids(similarity, threshold, member, algorithm == "greedy_medoid_v1"):
             if len(cluster) >= least:
                 m, n = medoid(cluster, similarity), len(cluster)
                 columns = (np.full(n, table["group"][0].as_py()), ids[cluster], np.full(n, ids[cluster].min()), np.full(n, ids[m]), similarity[cluster, m])
@@ -114,20 +210,23 @@ def _kernel(algorithm: str, threshold: float, member: float, least: int, most: i
     return run
 
 
-def cluster_points(points: DataFrame, algorithm: str = "average_linkage", threshold: float = 0.74, member: float = 0.77, least: int = 2, most: int = MOST_ROWS) -> DataFrame:
+def cluster_points(points: DataFrame, algorithm: str = "average_linkage", threshold: float = 0.74, member: float = 0.77, least: int = 2, most: int | None = None) -> DataFrame:
     """(group, id, cluster, representative, score): members of every cluster of at least `least`; `cluster` is the smallest id,
     `score` the cosine to the representative.
 
     Two rows below the threshold of the graph are never joined directly, so each component is clustered alone and the result
-    is that of the whole. The rule inside a component is sequential by nature; its memory grows with the square of the
-    component, and a component of more than `most` rows is an error that says so. points: group BIGINT, id BIGINT (unique), vector ARRAY. Null vectors are left out.
+    is that of the whole. The rule inside a component is sequential by nature. For average linkage its memory grows with the
+    component's links; for greedy medoids with the square of its rows, of which there are at most MOST_ROWS. A component of more
+    than `most` rows is an error that says so. points: group BIGINT, id BIGINT (unique), vector ARRAY. Null vectors are left out.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     rows = points.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("group", "id", F.col("vector").cast("array<double>").alias("vector"))
-    cutoff = threshold if algorithm == "average_linkage" else min(threshold, member)
-    labels = components(similarity_edges(rows, cutoff - 1e-9))
-    return each_key(rows.join(labels, "id").select("component", "group", "id", "vector"), "component", _kernel(algorithm, threshold, member, least, most), _SCHEMA)
+    if algorithm == "average_linkage":
+        return _average_linkage(rows, threshold, least, most)
+    labels = components(similarity_edges(rows, min(threshold, member) - 1e-9))
+    kernel = _kernel(algorithm, threshold, member, least, MOST_ROWS if most is None else most)
+    return each_key(rows.join(labels, "id").select("component", "group", "id", "vector"), "component", kernel, _SCHEMA)
 
 
 def assigned(members: DataFrame, floor: float = 0.70, least: int = 2, low: float = 0.35) -> tuple[DataFrame, DataFrame]:

@@ -104,3 +104,46 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("id", "component")
         if stepped.where("moved").isEmpty():
             return labels
+
+
+#: Links that a task holds before it replaces them by their forest.
+_HELD = 1 << 21
+
+
+def _forest(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, id and smallest connected id of every id among a and b."""
+    ids, first, at = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
+    label, (x, y) = np.arange(len(ids)), at.reshape(2, -1)
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return np.concatenate((group, group))[first], ids, ids[label]
+
+
+def group_components(edges: DataFrame) -> DataFrame:
+    """components() of edges (group BIGINT, a, b) that stay within a group, in one shuffle and without rounds: a task replaces
+    its links by their forest, and a group's forests, at most one link an id and task, meet in one task. An id linked to itself
+    only is a component."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("group", "a", "b")))
+            if sum(len(h[0]) for h in held) > _HELD:
+                held = [_forest(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) > _HELD // 2:  # the forest itself is large: it goes on, and the next begins
+                    yield from pa.Table.from_arrays([pa.array(c) for c in held.pop()], names=["group", "a", "b"]).to_batches(100_000)
+        if held:
+            yield from pa.Table.from_arrays([pa.array(c) for c in _forest(*map(np.concatenate, zip(*held)))], names=["group", "a", "b"]).to_batches(100_000)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, ids, label = _forest(*(table[c].to_numpy() for c in ("group", "a", "b")))
+        yield from pa.Table.from_arrays([pa.array(ids), pa.array(label)], names=["id", "component"]).to_batches(100_000)
+
+    forests = edges.select("group", "a", "b").mapInArrow(thin, "`group` bigint, a bigint, b bigint")
+    return each_key(forests, "group", work, "id bigint, component bigint")

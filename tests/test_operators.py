@@ -194,3 +194,35 @@ def test_a_component_over_the_bound_is_an_error(spark):
         C.cluster_points(rows, most=10).collect()
     assert C.cluster_points(rows, most=12).count() == 12
 
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("threshold", [0.9, 0.74, 0.3, 0.1])
+def test_linked_clusters_are_those_of_the_matrix(seed, threshold):
+    rng = np.random.default_rng(seed)
+    u, weight = C.unit(np.array([r[2] for r in _points(40, seed=seed)])), rng.integers(1, 4, 40)
+    a, b = np.nonzero(np.triu(u @ u.T >= threshold - 1e-9, 1))
+    label = C.linked_clusters(u, weight, a, b, threshold)
+    many = np.repeat(np.arange(40), weight)
+    want = {tuple(sorted(set(many[c].tolist()))) for c in C.average_linkage(u[many] @ u[many].T, threshold)}
+    assert {tuple(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())} == want and all(label[x] == x for x in label)
+
+
+def test_a_component_of_any_size_is_clustered(spark):
+    """11 998 rows in one ring, in which each is linked to those beside it, with copies and zero vectors."""
+    angle = np.arange(11_000) / 11_000 * 2 * np.pi
+    rows = [(0, i, [float(np.cos(x)), float(np.sin(x)), 0.0]) for i, x in enumerate(angle)]
+    rows += [(0, 11_000 + i, rows[7][2]) for i in range(998)] + [(0, 11_998, [0.0] * 3), (0, 11_999, [0.0] * 3)] + [(1, 12_000, [0.0, 0.0, 1.0]), (1, 12_001, [0.0, 0.0, 1.0])]
+    found = {r["id"]: r for r in C.cluster_points(spark.createDataFrame(rows, POINTS), threshold=0.99999).collect()}
+    assert sorted(found) == [*range(11_998), 12_000, 12_001]
+    assert {found[11_000 + i].cluster for i in range(998)} == {found[7].cluster} and found[12_001].cluster == 12_000
+
+
+def test_group_components_equal_components(spark):
+    rng = random.Random(3)
+    edges = [(g, 1000 * g + a, 1000 * g + b) for g in range(3) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(140))] + [(3, i, i + 1) for i in range(5000, 5400)]
+    frame = spark.createDataFrame(edges, "`group` bigint, a bigint, b bigint").repartition(5)
+    want = {(r["id"], r.component) for r in E.components(frame).collect()}
+    assert {tuple(r) for r in E.group_components(frame).collect()} == want
+    group, ids, label = E._forest(*np.array(edges).T)
+    assert set(zip(ids.tolist(), label.tolist())) == want and group.tolist() == [min(i // 1000, 3) for i in ids.tolist()]
