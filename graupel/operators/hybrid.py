@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graupel.operators.blocks import each_key
-from graupel.operators.edges import components, similarity_edges
-from graupel.operators.lexical import COMPATIBLE, CONTAINMENT, INCOMPATIBLE, pair_evidence, pair_relation
+from graupel.operators.edges import group_components, similarity_edges
+from graupel.operators.lexical import COMPATIBLE, CONTAINMENT, INCOMPATIBLE, UNKNOWN, pair_evidence, pair_relation
 from graupel.session import cut
 
 FLOOR, RESCUE, NEIGHBOURS, LEAST = 0.55, 0.50, 3, 2
@@ -22,10 +23,11 @@ def _within(short: tuple, long: tuple) -> bool:
 
 
 class _Grouping:
-    """One component: rows ordered by id, and what is known of each pair of them."""
+    """One component: rows ordered by id, what is known of each pair of them, and the rows that are in conflict with another."""
 
-    def __init__(self, nodes: list[tuple], edges: list[tuple], floor: float, rescue: float, containment: float, least: int) -> None:
-        """nodes: (id, tokens); edges: (a, b, score, relation, compatible, conflict, containment)."""
+    def __init__(self, nodes: list[tuple], edges: Iterable[tuple], floor: float, rescue: float, containment: float, least: int, vetoed: Iterable[int] = ()) -> None:
+        """nodes: (id, tokens); edges: (a, b, score, relation, compatible, conflict, containment), where pairs in conflict may be
+        left out if their rows are in vetoed."""
         self.tokens = {i: tuple(t) for i, t in nodes}
         self.ids = sorted(self.tokens)
         self.floor, self.rescue, self.containment, self.least = floor, rescue, containment, least
@@ -35,6 +37,7 @@ class _Grouping:
         self.groups: dict[int, list[int]] = {}  # members by representative
         self.free = set(self.ids)
         self.ambiguous: set[int] = set()
+        self.vetoed = set(vetoed)
 
     def neighbours(self, floor: float) -> dict[int, list[int]]:
         out = {}
@@ -80,7 +83,7 @@ class _Grouping:
             return "ambiguous_multiple_groups"
         facts = [f for f in self.around[i].values() if f[0] >= self.rescue]
         if not facts:
-            return "below_semantic_floor"
+            return "lexical_conflict" if i in self.vetoed else "below_semantic_floor"
         return "lexical_conflict" if all(f[1] == INCOMPATIBLE for f in facts) else "no_compatible_group"
 
     def run(self) -> list[tuple]:
@@ -100,8 +103,9 @@ def group_texts(points: DataFrame, floor: float = FLOOR, rescue: float = RESCUE,
     why it is in none. points: group BIGINT, id BIGINT (unique), vector ARRAY, tokens ARRAY<STRING>, and optionally keys
     ARRAY<STRING> of evidence memberships.
 
-    All relations, neighbours and reasons only use pairs at or above the lower floor, so components of that graph are grouped
-    independently. The fold in a component is sequential; its size is bounded by the largest component.
+    Neighbours and groups only use pairs at or above the lower floor that are not in conflict, so components of that graph are
+    grouped independently; of the pairs in conflict only the rows are kept, for the reason. The fold in a component is
+    sequential; its size is bounded by the largest component.
     """
     cutoff = min(floor, rescue)
     rows = points if "keys" in points.columns else points.withColumn("keys", F.array().cast("array<string>"))
@@ -110,24 +114,34 @@ def group_texts(points: DataFrame, floor: float = FLOOR, rescue: float = RESCUE,
     a, b = (rows.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
     judged = pair_evidence(edges.join(a, "a").join(b, "b"), least=containment)
     judged = judged.withColumn("relation", pair_relation(floor, shared_evidence=F.arrays_overlap("keys_a", "keys_b")))
-    facts = cut(judged.select("group", "a", "b", "score", "relation", "lexically_compatible", "conflict", "containment"))
-    labels = components(facts)
-    fields = {"a": "bigint", "b": "bigint", "score": "double", "relation": "string", "lexically_compatible": "boolean", "conflict": "boolean", "containment": "double"}
-    nodes = rows.join(labels, "id").select("component", "group", "id", "tokens", *[F.lit(None).cast(t).alias(f) for f, t in fields.items()])
-    parts = labels.select(F.col("id").alias("a"), "component")
-    links = facts.join(parts, "a").select("component", "group", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<string>").alias("tokens"), *fields)
+    facts = cut(judged.select("group", "a", "b", "score", (F.col("relation") == COMPATIBLE).alias("related"), "lexically_compatible", "conflict", "containment"))
+    fit = facts.where("NOT conflict")
+    labels = cut(group_components(fit))
+    vetoed = facts.where(F.col("conflict") & (F.col("score") >= rescue)).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    judged_rows = rows.select("group", "id", "tokens").join(vetoed.withColumn("vetoed", F.lit(True)), "id", "left").join(labels, "id", "left")
+    judged_rows = cut(judged_rows.withColumn("vetoed", F.coalesce("vetoed", F.lit(False))))
+    fields = {"a": "bigint", "b": "bigint", "score": "double", "related": "boolean", "lexically_compatible": "boolean", "containment": "double"}
+    nodes = judged_rows.where("component IS NOT NULL").select("component", "group", "id", "tokens", "vetoed", *[F.lit(None).cast(t).alias(f) for f, t in fields.items()])
+    none = {"id": "bigint", "tokens": "array<string>", "vetoed": "boolean"}
+    links = fit.join(labels.select(F.col("id").alias("a"), "component"), "a").select("component", "group", *[F.lit(None).cast(t).alias(f) for f, t in none.items()], *fields)
+
+    def pairs(table: pa.Table) -> Iterator[tuple]:
+        for batch in table.to_batches():
+            for x, y, score, related, fits, part in zip(*(batch.column(f).to_pylist() for f in fields)):
+                yield x, y, score, COMPATIBLE if related else UNKNOWN, fits, False, part
 
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        columns = {n: table[n].to_pylist() for n in ("id", "tokens", *fields)}
-        own = [(i, t) for i, t in zip(columns["id"], columns["tokens"]) if i is not None]
-        edges = [e for e in zip(*(columns[f] for f in fields)) if e[0] is not None]
-        found = _Grouping(own, edges, floor, rescue, containment, least).run()
+        own = table.filter(pc.is_valid(table["id"]))
+        ids = own["id"].to_pylist()
+        against = [i for i, v in zip(ids, own["vetoed"].to_pylist()) if v]
+        found = _Grouping(list(zip(ids, own["tokens"].to_pylist())), pairs(table.filter(pc.is_valid(table["a"]))), floor, rescue, containment, least, against).run()
         group = pa.array([table["group"][0].as_py()] * len(found), pa.int64())
         rest = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
         yield pa.RecordBatch.from_arrays([group, *rest], names=["group", "id", "cluster", "representative", "reason"])
 
     grouped = each_key(nodes.unionByName(links), "component", kernel, _SCHEMA)
-    alone = rows.join(labels, "id", "left_anti").select(
-        "group", "id", F.lit(None).cast("bigint").alias("cluster"), F.lit(None).cast("bigint").alias("representative"), F.lit("below_semantic_floor").alias("reason")
-    )
+    alone = judged_rows.where("component IS NULL").select(
+        "group", "id", F.lit(None).cast("bigint").alias("cluster"), F.lit(None).cast("bigint").alias("representative"),
+        F.when(F.col("vetoed"), "lexical_conflict").otherwise("below_semantic_floor").alias("reason"),
+    )
     return grouped.unionByName(alone)

@@ -10,7 +10,7 @@ from graupel.operators import concepts as K
 from graupel.operators import edges as E
 from graupel.operators import ranking as R
 from graupel.operators.catalogue import catalogue_terms, unknown_acronyms
-from graupel.operators.hybrid import group_texts
+from graupel.operators.hybrid import _Grouping, group_texts
 from graupel.operators.lexical import pair_evidence
 from graupel.operators.search import search
 
@@ -226,3 +226,19 @@ def test_group_components_equal_components(spark):
     assert {tuple(r) for r in E.group_components(frame).collect()} == want
     group, ids, label = E._forest(*np.array(edges).T)
     assert set(zip(ids.tolist(), label.tolist())) == want and group.tolist() == [min(i // 1000, 3) for i in ids.tolist()]
+
+
+def test_grouping_needs_no_pairs_in_conflict():
+    """Only their rows: the groups and reasons are those of all pairs."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        nodes = [(i, [f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 5))]) for i in range(25)]
+        edges = []
+        for i in range(25):
+            for j in range(i + 1, 25):
+                if rng.random() < 0.3:
+                    relation = rng.choice(["compatible", "incompatible", "incompatible", "unknown"])
+                    edges.append((i, j, rng.choice([0.76, 0.8, 0.9, 1.0]), relation, relation == "compatible", relation == "incompatible", 0.7))
+        want = sorted(_Grouping(nodes, edges, 0.8, 0.75, 0.67, 2).run(), key=str)
+        vetoed = {i for e in edges if e[5] for i in e[:2]}
+        assert sorted(_Grouping(nodes, [e for e in edges if not e[5]], 0.8, 0.75, 0.67, 2, vetoed).run(), key=str) == want
